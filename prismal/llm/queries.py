@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, packing, pii, sharding
+from . import decontam, exact_dedup, licenses, minhash, packing, pii, sharding
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op7_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_sharding, op4_packing, op7_pii, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_sharding, op4_packing, op7_pii, op8_decontamination, op9_minhash, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.OP1_SQL}
