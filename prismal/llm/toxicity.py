@@ -2,9 +2,8 @@
 
 A window is one word in lower case, between blanks. One dictionary is trained on windows of toxic texts, one on windows of
 ordinary texts; the gain of a window is the length that the ordinary dictionary compresses it to less that of the toxic one.
-Training goes in rounds: first on all windows that recur in enough texts of a class, then each time on the windows of a
-class that speak most for it, and, for the ordinary dictionary, on those of its own windows that the round before took for
-toxic. A text is judged by its largest gains and by how many windows pass fixed gains; a logistic function with weights
+The ordinary dictionary is trained on the windows that recur in ordinary texts, the toxic one on windows of toxic texts that
+the ordinary one leaves most of. A text is judged by its largest gains and by how many windows pass fixed gains; a logistic function with weights
 calibrated on labelled rows that no dictionary saw turns that into the score.
 
 Fitted on a bounded sample: at most SAMPLE labelled rows of each class, in the order of a hash of the id. Rows whose
