@@ -47,3 +47,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def buckets(rows: int, per_bucket: int, most: int = 1 << 16) -> int:
     """How many buckets hold about per_bucket rows each."""
     return max(1, min(most, -(-rows // per_bucket)))
+
+
+def has_repeated_ids(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()

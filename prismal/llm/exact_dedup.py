@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, text_of, written
+from .common import BLANKS, has_repeated_ids, text_of, written
 
 #: Counters of each summary, and the most digests that it may propose.
 TRACKED, HEAVY_MOST = 8192, 1024
@@ -66,18 +66,12 @@ def exact_dedup(docs: DataFrame, least: int = 32) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; columns unchanged."""
-    keep = written(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__keep_id")), "kept")
-    out = docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(keep["__keep_id"]), "left_semi")
-    if keep.groupBy("__keep_id").count().where("count > 1").isEmpty() and not _repeated_ids(docs):
-        return out
-    # An id that stands for several rows doesn't tell which of them stays: keep one row of each such text.
-    key = Window.partitionBy("__digest").orderBy(F.col("doc_id").asc_nulls_last())
-    marked = docs.withColumn("__digest", F.sha2(normalised(text_of()), 256)).withColumn("__rank", F.row_number().over(key))
-    return marked.where("__rank = 1").drop("__digest", "__rank")
-
-
-def _repeated_ids(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    keep = written(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__k_id"), F.col("text_sha256").alias("__k_sha")), "kept")
+    marked = docs.withColumn("__sha", F.sha2(normalised(text_of()), 256))
+    out = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__k_id"]) & (F.col("__sha") == F.col("__k_sha")), "left_semi")
+    if has_repeated_ids(docs):  # rows with the same id and text are alike: one of them stays
+        out = out.dropDuplicates(["doc_id", "__sha"])
+    return out.drop("__sha")
 
 
 OP1_SQL = r"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, licenses, minhash, packing, pii, sharding, substring, toxicity
+from . import decontam, exact_dedup, licenses, lm, minhash, packing, pii, sharding, substring, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op5_lm(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op6_substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_sharding, op4_packing, op6_substring_dedup, op7_pii, op8_decontamination, op9_minhash, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_sharding, op4_packing, op5_language_model, op6_substring_dedup, op7_pii, op8_decontamination, op9_minhash, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.OP1_SQL}
