@@ -8,8 +8,9 @@ documents see the same darts. A signature keeps the dart of lowest rank in each
 no coordinate is empty. Two nodes agree in a coordinate with a probability that is their similarity.
 
 Nodes that agree in a band of coordinates meet in a bucket. Pairs of a bucket are not all made: in a round, each bucket
-compares its members with a few hubs, the members that meet most others first, which are the texts that the copies were made from; the comparison is exact,
-on whole shingle sets. Components of the links so far are found, and a bucket whose members are in one component is done;
+compares its members with a few hubs, the members with least of their own first, which are the texts that the copies were
+made from; the comparison is exact, on whole shingle sets. A member with too many shingles that no other member has can't be
+similar enough to any and takes no part. Components of the links so far are found, and a bucket whose members are in one component is done;
 the rest goes on with more hubs, until each pair of members in different components has been compared. The classes are thus those of all
 candidate pairs. Components shrink by the large-star, small-star rounds, with tables in the shared folder between them.
 
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_of, written
+from .common import has_repeated_ids, text_of, written
 
-K, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
+K, LEAST, BANDS, ROWS = 5, 0.8, 25, 6
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Links that one task may join up, 16 bytes each; and how many times more hubs each round has than the one before.
+IN_ONE_TASK, MORE_HUBS = 1_000_000, 16
 
 
 def _cells(enough: float) -> Iterator[tuple[int, float, float, int]]:
@@ -129,15 +132,14 @@ def _key(own: list[str]) -> int:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """no_id, doc_id, row, node and the bands of each row's text."""
-    schema = "doc_id long, row long, node long, bands array<long>"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    """doc_id, row, text_hash, node and the bands of each row's text."""
+    schema = "doc_id long, row long, text_hash long, node long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, last = words.Codes(), {}
         for batch in batches:
             nodes, made = [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 own = _low(text)
                 node = _key(own)
                 if node not in last:
@@ -146,9 +148,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
                     last[node] = words.signed(bands(signature(_texts(own, codes)))) if own else np.zeros(0, np.int64)
                 nodes.append(node)
                 made.append(last[node])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, kinds[2]), pa.array(made, kinds[3])], names=["doc_id", "row", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", "text_hash", "node", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     return rows.mapInArrow(run, schema)
 
 
@@ -195,8 +197,60 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of the nodes of links (a, b): alternating large-star and small-star rounds."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in range(0, batch.num_rows, 500):
+            piece = batch.slice(part, 500)
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in piece.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column(0).to_numpy(), [len(x) for x in each])), pa.array(np.concatenate(each))], names=["node", "shingle"])
+
+
+def _ranked(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """bucket, node, rank, size, shared of the nodes that may be linked in a bucket.
+
+    size: the node's shingles; shared: those that another node of a bucket has too. Two nodes have at most the lesser of their
+    shared counts in common, which bounds their similarity: a node that is too much its own for the smallest node of a
+    bucket has no link there. The first ranks, the hubs, go to nodes with least of their own.
+    """
+    alone = sets.select("node", "shingles").mapInArrow(_unpacked, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = alone.groupBy(F.col("node").alias("o_node")).agg(F.count(F.lit(1)).alias("own"))
+    stats = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size"))
+    stats = stats.join(own, F.col("node") == F.col("o_node"), "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    by = Window.partitionBy("bucket")
+    all_ = members.select("bucket", "node").join(stats.join(degree, "node"), "node").withColumn("smallest", F.min("size").over(by))
+    may = all_.where(F.col("smallest") <= F.col("shared") * (1 + 1 / least) - F.col("size") + 1e-6)
+    ranked = may.withColumn("rank", F.row_number().over(by.orderBy(F.col("shared") / F.col("size") * -1, F.desc("degree"), "node")))
+    return ranked.withColumn("there", F.count(F.lit(1)).over(by)).where("there > 1").select("bucket", "node", "rank", "size", "shared")
+
+
+def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """node, component (its smallest node) of the nodes of links (a, b).
+
+    At most in_one_task links are joined up in one task, as that many fit there; more go through star_rounds.
+    """
+    if links.limit(in_one_task + 1).count() > in_one_task:
+        return star_rounds(links)
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in list(up)], pa.int64())], names=["node", "component"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(union, "node long, component long")
+
+
+def star_rounds(links: DataFrame) -> DataFrame:
+    """components() by alternating large-star and small-star rounds, for any number of links."""
     e = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     state = None
     while True:
@@ -213,59 +267,57 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """A row per document: doc_id, class_id, class_size, kept, text_id (smallest id of the same words), row."""
+    """A row per document: doc_id, class_id, class_size, kept, text_id (smallest id of the same words), text_hash."""
     rows = written(_keyed(docs), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     nodes = rows.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     single = rows.groupBy("node").agg(F.min("row").alias("row"))
     members = rows.join(single, ["node", "row"]).select("node", F.explode("bands").alias("bucket"))
-    # a bucket of one node links nothing
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")  # a bucket of one node links nothing
     members = written(members.join(sizes, "bucket"), "buckets")
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    by = Window.partitionBy("bucket")
-    hubs = 1
-    links = tested = None
-    open_ = members.join(degree, "node").select("bucket", "node", "degree", F.col("node").alias("component"))
-    sets = None
-    at = 0
+    sets = written(_shingles(docs, members.select("node").distinct()), "shingles")
+    ranked = written(_ranked(members, sets, least), "ranked")
+    links = tested = found = None
+    at, hubs = 0, 1
     while True:
-        ranked = written(open_.withColumn("rank", F.row_number().over(by.orderBy(F.desc("degree"), "node"))), "ranked")
-        if ranked.where(F.col("rank") > at + 1).isEmpty():
+        if found is None:
+            now = ranked.withColumn("component", F.col("node"))
+        else:
+            now = ranked.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            spread = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("rank").alias("last"))
+            spread = spread.where((F.col("low") != F.col("high")) & (F.col("last") > at + 1)).select("bucket")
+            now = written(now.join(spread, "bucket", "left_semi"), "open")
+        if now.isEmpty():
             break
-        hub = ranked.where(F.col("rank").between(at + 1, at + hubs)).select("bucket", F.col("node").alias("hub"), F.col("component").alias("c"), F.col("rank").alias("r"))
-        new = ranked.join(hub, "bucket").where((F.col("rank") > F.col("r")) & (F.col("component") != F.col("c"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        hub = now.where(F.col("rank").between(at + 1, at + hubs)).select("bucket", *[F.col(x).alias(f"hub_{x}") for x in ("node", "component", "rank", "size", "shared")])
+        may = F.least("shared", "hub_shared") >= least / (1 + least) * (F.col("size") + F.col("hub_size")) - 1e-9
+        new = now.join(hub, "bucket").where((F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component")) & may)
+        new = new.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if sets is None:
-            wanted = members.select("node").distinct()
-            sets = written(_shingles(docs, wanted), "shingles")
         good = _similar(new, sets, least)
         links = written(good if links is None else good.unionByName(links), "good")
         tested = new if tested is None else tested.unionByName(new)
         found = written(components(links), "components")
-        known = ranked.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("rank").alias("last")).where((F.col("low") != F.col("high")) & (F.col("last") > at + hubs + 1)).select("bucket")
-        open_ = known.join(spread, "bucket", "left_semi").select("bucket", "node", "degree", "component")
-        at, hubs = at + hubs, hubs * 2
+        at, hubs = at + hubs, hubs * MORE_HUBS
     label = nodes if links is None else nodes.join(found, "node", "left")
     label = label.withColumn("component", F.col("node") if links is None else F.coalesce("component", "node"))
     classes = label.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
     named = label.join(classes, "component").select("node", "first", "head", "class_size")
-    return rows.select("doc_id", "row", "node").join(named, "node").select(
+    return rows.select("doc_id", "row", "text_hash", "node").join(named, "node").select(
         "doc_id",
         F.col("head.doc_id").alias("class_id"),
         F.col("class_size").cast("long").alias("class_size"),
         (F.col("row") == F.col("head.row")).alias("kept"),
         F.col("first.doc_id").alias("text_id"),
+        "text_hash",
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate class; columns unchanged. A kept id keeps one row if it is repeated."""
-    keep = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__keep_id")), "kept")
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return out
-    key = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_of()))
-    return out.withColumn("__rank", F.row_number().over(key)).where("__rank = 1").drop("__rank")
+    """docs with one document of each near-duplicate class; columns unchanged."""
+    keep = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__k_id"), F.col("text_hash").alias("__k_hash")), "kept")
+    marked = docs.withColumn("__hash", F.xxhash64(text_of()))
+    out = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__k_id"]) & (F.col("__hash") == F.col("__k_hash")), "left_semi")
+    if has_repeated_ids(docs):  # rows with the same id and text are alike: one of them stays
+        out = out.dropDuplicates(["doc_id", "__hash"])
+    return out.drop("__hash")
