@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -99,7 +100,9 @@ def query(catalog: Catalog, spec: QuerySpec | dict, choose: str = "fewest", dedu
 
 
 def costs(catalog: Catalog, spec: QuerySpec | dict) -> list[tuple[list[str], float]]:
-    """Tables and estimated cost of each rewriting; parameters count as unknown."""
+    """Tables and estimated cost of each rewriting; a filter with parameters reads its attributes and keeps all rows."""
     spec = QuerySpec.of(spec)
-    plain = QuerySpec(spec.project, spec.pattern, predicates.unbound(spec.filter) if spec.filter else None)
-    return [(r.names, cost.estimate(build(catalog, r))) for r in rewritings(catalog, plain)]
+    q = parse(catalog.spark, catalog.design.domain, spec)
+    if spec.filter and predicates.parameters(spec.filter):
+        q = replace(q, filter=None)
+    return [(r.names, cost.estimate(build(catalog, r))) for r in alternatives(catalog.design, q)]

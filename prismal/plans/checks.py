@@ -61,7 +61,7 @@ def _domain(d: Domain) -> Iterator[Violation]:
         yield from _bad("Empty", ["no classes"])
         return
     owners = Counter(a.name for c in d.classes.values() for a in c.attributes)
-    names = Counter([*d.classes, *d.associations, *d.generalizations, *owners, *[e.name for a in d.associations.values() for e in a.ends if e.name]])
+    names = Counter([*d.classes, *d.associations, *d.generalizations, *owners.elements(), *[e.name for a in d.associations.values() for e in a.ends if e.name]])
     yield from _bad("Generic1", [n for n, k in names.items() if k > 1])
     known = set(d.classes)
     ends = [e for a in d.associations.values() for e in a.ends]
@@ -155,7 +155,8 @@ def _links(design: Design, struct: Struct) -> list[set[str]]:
         elif e in design.structs:
             out += _links(design, design.structs[e])
         elif e in design.sets:
-            out += [{d.root(c)} for c in _set_classes(design, e)]
+            for x in design.sets[e].elements:
+                out += _links(design, design.structs[x]) if x in design.structs else [{d.root(x)}]
     return out
 
 
