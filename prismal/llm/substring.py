@@ -34,8 +34,8 @@ from . import words
 from .common import buckets, text_of, written
 
 LENGTH, GRAM = 50, 8
-#: Texts of a gram from which on its windows go one by one; suffix runs of a partition.
-HEAVY, PER_PART = 4096, 8192
+#: Texts of a gram from which on its windows go one by one (their runs, of some 450 bytes, still fit a task); suffix runs of a partition.
+HEAVY, PER_PART = 32_768, 8192
 LAST = (1 << 63) - 1
 _LOW = np.uint64((1 << 24) - 1)
 #: Windows looked at together, fewer than the places that the packed numbers below can tell apart.
@@ -79,7 +79,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key in done:
                     continue
-                if len(done) < 1_000_000:
+                if len(done) < 200_000:
                     done.add(key)
                 own = words.split(text)
                 if len(own) < length:
