@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import has_repeated_ids, text_of, written
+from .common import has_repeated_ids, text_of, tidied, written
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 25, 6
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Links that one task may join up, 16 bytes each; and how many times more hubs each round has than the one before.
-IN_ONE_TASK, MORE_HUBS = 1_000_000, 16
+#: Links that one task may join up, 16 bytes each; how many times more hubs each round has than the one before; see _ranked.
+IN_ONE_TASK, MORE_HUBS, PRUNINGS = 1_000_000, 16, 2
 
 
 def _cells(enough: float) -> Iterator[tuple[int, float, float, int]]:
@@ -151,7 +151,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", "text_hash", "node", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,13 +167,13 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 node = _key(own)
                 if node in done or not words.passes(seen, np.array([node], np.int64).view(np.uint64))[0]:
                     continue
-                if len(done) < 1_000_000:
+                if len(done) < 200_000:
                     done.add(node)
                 nodes.append(node)
                 sets.append(_texts(own, codes).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    found = docs.select(text_of().alias("text")).mapInArrow(run, "node long, shingles binary")
+    found = docs.select(text_of().alias("text")).mapInArrow(tidied(run), "node long, shingles binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -194,7 +194,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,22 +206,31 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranked(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """bucket, node, rank, size, shared of the nodes that may be linked in a bucket.
+    """bucket, node, rank, size, shared, before (its smaller buckets) of the nodes that may be linked in a bucket.
 
     size: the node's shingles; shared: those that another node of a bucket has too. Two nodes have at most the lesser of their
     shared counts in common, which bounds their similarity: a node that is too much its own for the smallest node of a
     bucket has no link there. The first ranks, the hubs, go to nodes with least of their own.
     """
-    alone = sets.select("node", "shingles").mapInArrow(_unpacked, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    by = Window.partitionBy("bucket")
+    alive = members.select("bucket", "node")
+    for _ in range(PRUNINGS):  # without the members that went, others may have too much of their own
+        stats = _shared(sets.join(alive.select("node").distinct(), "node", "left_semi"))
+        every = alive.select("bucket", "node").join(stats, "node").withColumn("smallest", F.min("size").over(by))
+        may = every.where(F.col("smallest") <= F.col("shared") * (1 + 1 / least) - F.col("size") + 1e-6)
+        alive = written(may.withColumn("there", F.count(F.lit(1)).over(by)).where("there > 1").drop("there", "smallest"), "alive")
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    mine = alive.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    ranked = alive.join(degree, "node").join(mine, "node").withColumn("rank", F.row_number().over(by.orderBy(-F.col("shared") / F.col("size"), F.desc("degree"), "node")))
+    return ranked.select("bucket", "node", "rank", "size", "shared", F.filter("buckets", lambda x: x < F.col("bucket")).alias("before"))
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """node, size and how many of its shingles another of the nodes has."""
+    alone = sets.select("node", "shingles").mapInArrow(tidied(_unpacked), "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
     own = alone.groupBy(F.col("node").alias("o_node")).agg(F.count(F.lit(1)).alias("own"))
     stats = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size"))
-    stats = stats.join(own, F.col("node") == F.col("o_node"), "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    by = Window.partitionBy("bucket")
-    all_ = members.select("bucket", "node").join(stats.join(degree, "node"), "node").withColumn("smallest", F.min("size").over(by))
-    may = all_.where(F.col("smallest") <= F.col("shared") * (1 + 1 / least) - F.col("size") + 1e-6)
-    ranked = may.withColumn("rank", F.row_number().over(by.orderBy(F.col("shared") / F.col("size") * -1, F.desc("degree"), "node")))
-    return ranked.withColumn("there", F.count(F.lit(1)).over(by)).where("there > 1").select("bucket", "node", "rank", "size", "shared")
+    return stats.join(own, F.col("node") == F.col("o_node"), "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
 def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
@@ -246,7 +255,7 @@ def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
                 up[max(a, b)] = min(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in list(up)], pa.int64())], names=["node", "component"])
 
-    return links.select("a", "b").coalesce(1).mapInArrow(union, "node long, component long")
+    return links.select("a", "b").coalesce(1).mapInArrow(tidied(union), "node long, component long")
 
 
 def star_rounds(links: DataFrame) -> DataFrame:
@@ -289,9 +298,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
             now = written(now.join(spread, "bucket", "left_semi"), "open")
         if now.isEmpty():
             break
-        hub = now.where(F.col("rank").between(at + 1, at + hubs)).select("bucket", *[F.col(x).alias(f"hub_{x}") for x in ("node", "component", "rank", "size", "shared")])
+        hub = now.where(F.col("rank").between(at + 1, at + hubs)).select("bucket", *[F.col(x).alias(f"hub_{x}") for x in ("node", "component", "rank", "size", "shared", "before")])
         may = F.least("shared", "hub_shared") >= least / (1 + least) * (F.col("size") + F.col("hub_size")) - 1e-9
-        new = now.join(hub, "bucket").where((F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component")) & may)
+        new = now.join(hub, "bucket").where((F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component")) & may & ~F.arrays_overlap("before", "hub_before"))  # a pair counts in its first bucket only
         new = new.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
         good = _similar(new, sets, least)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a cache of codes holds at most; it starts anew beyond.
-CACHE = 500_000
+CACHE = 200_000
 _ODD = regex.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _BLANKS = regex.compile(r"[\x20\x09-\x0D]+")
 
