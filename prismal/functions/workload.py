@@ -174,9 +174,9 @@ def parse(statement: str) -> dict | None:
                 a, b = _columns(left, aliases, tables), _columns(right, aliases, tables)
                 if tokens[i].lower() == "between":
                     filters |= {f"{x} between" for x in a[:1]}
-                elif len(a) == 1 and not b:
+                elif len(a) == 1 and not _has_names(right):
                     filters.add(f"{a[0]} {tokens[i].lower()}")
-                elif len(b) == 1 and not a:
+                elif len(b) == 1 and not _has_names(left):
                     filters.add(f"{b[0]} {_turned(tokens[i].lower())}")
             i += 1
     project = ["*"] if "*" in project else list(dict.fromkeys(project))
@@ -193,6 +193,10 @@ def parse(statement: str) -> dict | None:
     }
 
 
+def _has_names(tokens: list[str]) -> bool:
+    return any(_is_name(t) and tokens[i + 1 : i + 2] != ["("] for i, t in enumerate(tokens))
+
+
 def _turned(op: str) -> str:
     return {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
 

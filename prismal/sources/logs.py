@@ -29,5 +29,5 @@ def statements(log: DataFrame, year: int | None = None, month: int | None = None
 def read_text(spark: SparkSession, path: str, marker: str = "__EOL__") -> DataFrame:
     """Statements of a text export: a header line, then one by line, with a marker at the end of each."""
     lines = spark.read.text(path)
-    clean = F.trim(F.regexp_replace(F.regexp_replace("value", rf"[\s,\"]*{marker}[\s\"]*$", ""), r"\s+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("value", rf"^\s*\"|[\s,\"]*{marker}[\s\"]*$", ""), r"\s+", " "))
     return lines.select(clean.alias("statement")).where(F.length("statement") > 6).where(~F.lower("statement").isin("statement", "statement,__eol__"))

@@ -44,7 +44,7 @@ def load(spark: SparkSession, location: str, paradigm: str | None = None) -> Cat
         raise ModelError(f"the catalog is {design.paradigm}, not {paradigm}")
 
     def reader(name: str):
-        return lambda: spark.read.schema(table_map(design, name).schema).parquet(f"{location}/{name}")
+        return lambda: spark.read.schema(table_map(design, name).schema).option("recursiveFileLookup", True).parquet(f"{location}/{name}")
 
     return Catalog(spark, design, {name: reader(name) for name in design.tables()} if about["has_data"] else {}, location)
 

@@ -23,7 +23,7 @@ def insert_stream(catalog: Catalog, table: str, rows: DataFrame, checkpoint: str
     shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{catalog.location}/{table}/stream_batch={number}")
+        batch.write.mode("overwrite").parquet(f"{catalog.location}/{table}/batch-{number}")
 
     return shaped.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
