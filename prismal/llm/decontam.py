@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_of, written
+from .common import text_of, tidied, written
 
 K, LEAST, NEIGHBOUR, STRETCH, AGREE = 5, 0.8, 3, 1.5, 0.8
 #: An item table with at most so many windows is broadcast; a larger one is joined by shuffling.
@@ -91,7 +91,7 @@ def _windows(df: DataFrame, seen: np.ndarray | None) -> DataFrame:
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return df.mapInArrow(run, WINDOWS)
+    return df.mapInArrow(tidied(run), WINDOWS)
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:

@@ -21,7 +21,7 @@ PRETOKEN = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_LET
 FOREIGN = re.compile("[^\x00-\u017f]")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: Pre-tokens kept by a worker, and characters of a text that are looked at together.
-CACHE, CHUNK = 800_000, 1 << 20
+CACHE, CHUNK = 300_000, 1 << 20
 
 
 def default_path() -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_of, written
+from .common import text_of, tidied, written
 
 #: Labelled rows of a class that are learnt from at most; of them, one in CALIBRATE is for the weights alone.
 SAMPLE, CALIBRATE = 4000, 3
@@ -200,7 +200,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
             z = ((x - model["mean"]) / model["scale"]) @ w[:-1] + w[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "text_hash", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, text_hash long, score double")
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
