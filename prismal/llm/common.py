@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,14 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="prismal-")
+        own = tempfile.mkdtemp(prefix="prismal-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = f"file://{own}"
     return _OWN[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/prismal-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that this application's operators wrote; their results can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/prismal/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
