@@ -3,7 +3,8 @@
 A window is one word in lower case, between blanks. One dictionary is trained on windows of toxic texts, one on windows of
 ordinary texts; the gain of a window is the length that the ordinary dictionary compresses it to less that of the toxic one.
 The ordinary dictionary is trained on the windows that recur in ordinary texts, the toxic one on windows of toxic texts that
-the ordinary one leaves most of. A text is judged by its largest gains and by how many windows pass fixed gains; a logistic function with weights
+the ordinary one leaves most of. Of a few pairs of sizes the one with the least loss on rows that neither its dictionaries
+nor its weights saw is taken. A text is judged by its largest gains and by how many windows pass fixed gains; a logistic function with weights
 calibrated on labelled rows that no dictionary saw turns that into the score.
 
 Fitted on a bounded sample: at most SAMPLE labelled rows of each class, in the order of a hash of the id. Rows whose
@@ -35,12 +36,15 @@ from .common import text_of, tidied, written
 SAMPLE, CALIBRATE = 4000, 3
 #: A window must recur in this share of a class's texts (in two at least); at most so many windows of a class are used.
 RECURS, WINDOWS = {1: 0.012, 0: 0.004}, 50_000
-#: Bytes of the dictionaries, the least worth of a toxic window as a share of the best, and how often a window is a sample at most.
-TOXIC, ORDINARY, SHARE, REPEATS = 8192, 65536, 0.05, 50
+#: Pairs that are tried: bytes of the toxic and of the ordinary dictionary, and the least worth of a toxic window as a share of the best.
+PAIRS = ((8192, 65536, 0.05), (8192, 65536, 0.1), (8192, 98304, 0.07), (8192, 131072, 0.1))
+#: How often a window is a sample at most.
+REPEATS = 50
 #: Lower levels don't index all of a dictionary and miss short windows in it.
 LEVEL = 12
 #: Gains that windows are counted by.
-GAINS = (3, 5, 7)
+GAINS = (1, 2, 3, 4, 5, 6, 7, 9, 11)
+N_FEATURES = len(GAINS) + 3
 FOLDS = 5
 _EDGES = string.punctuation
 
@@ -88,9 +92,6 @@ class Distance:
         return [float(top[-1]), float(top.sum()) / 3, *(math.log1p(int((gain >= g).sum())) for g in GAINS), math.log1p(len(own))]
 
 
-N_FEATURES = 6
-
-
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -105,21 +106,21 @@ def _dictionary(windows: dict[bytes, int], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(toxic: dict[bytes, int], ordinary: dict[bytes, int], texts: dict[int, int]) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: dict[bytes, int], ordinary: dict[bytes, int], texts: dict[int, int], pair: tuple[int, int, float] = PAIRS[0]) -> tuple[bytes, bytes]:
     """The two dictionaries, from windows and the number of texts that each recurs in; texts: how many there are of a class.
 
     The ordinary one is trained on all recurrent windows of ordinary texts. What it leaves of a window, times how much more
-    often toxic texts have it, is what the toxic one could save; that is trained on the windows worth at least SHARE of the
-    best of them.
+    often toxic texts have it, is what the toxic one could save; that is trained on the windows worth enough of the best of them.
     """
-    plain = _dictionary(ordinary, ORDINARY)
+    size, plain_size, share = pair
+    plain = _dictionary(ordinary, plain_size)
     left = _compressor(plain).compress
     worth = {w: len(left(w)) * (n / texts[1] - ordinary.get(w, 0) / texts[0]) for w, n in toxic.items()}
     best = max(worth.values())
-    return _dictionary({w: n for w, n in toxic.items() if worth[w] >= SHARE * best} if best > 0 else toxic, TOXIC), plain
+    return _dictionary({w: n for w, n in toxic.items() if worth[w] >= share * best} if best > 0 else toxic, size), plain
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights, the constant last, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -161,21 +162,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         found[c] = {bytes(r["window"]): r["n"] for r in often.collect()}
     if not (found[0] and found[1]):
         return {"share": share}
-    toxic, ordinary = train_dictionaries(found[1], found[0], texts)
+    pairs = [train_dictionaries(found[1], found[0], texts, p) for p in PAIRS]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        distance = Distance(toxic, ordinary)
+        distances = [Distance(*p) for p in pairs]
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "features": [distance.features(x) for x in batch["text"]]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "features": [[f for d in distances for f in d.features(x)] for x in batch["text"]]})
 
     measured = rows.where("calibrate").select("toxic", "text").mapInPandas(measure, "toxic int, features array<double>").toPandas()
-    y = measured["toxic"].to_numpy(float)
+    order = measured["features"].map(str).argsort(kind="stable")  # the same folds whatever the order of rows
+    y = measured["toxic"].to_numpy(float)[order]
     if len(set(y)) < 2:
         return {"share": share}
-    x = np.array(measured["features"].tolist())
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    every = np.array(measured["features"].tolist())[order].reshape(len(y), len(PAIRS), N_FEATURES)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # the sample has other shares than the labels
-    return {"share": share, "toxic": toxic, "ordinary": ordinary, "mean": mean, "scale": scale, "weights": logistic((x - mean) / scale, y, weight)}
+    losses = [_loss(every[:, i], y, weight) for i in range(len(PAIRS))]
+    best = int(np.argmin(losses))
+    return {"share": share, "toxic": pairs[best][0], "ordinary": pairs[best][1], **_calibrated(every[:, best], y, weight)}
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    return {"mean": mean, "scale": scale, "weights": logistic((x - mean) / scale, y, weight)}
+
+
+def _score(x: np.ndarray, model: dict) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(((x - model["mean"]) / model["scale"]) @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
+
+
+def _loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray, folds: int = 3) -> float:
+    """Log loss on folds that the weights did not see."""
+    out = 0.0
+    for k in range(folds):
+        off = np.arange(len(y)) % folds == k
+        if len(set(y[~off])) < 2:
+            return math.inf
+        p = np.clip(_score(x[off], _calibrated(x[~off], y[~off], weight[~off])), 1e-6, 1 - 1e-6)
+        out -= float((weight[off] * np.where(y[off] == 1, np.log(p), np.log(1 - p))).sum())
+    return out
 
 
 def _recurrences(texts) -> dict[bytes, int]:
@@ -194,11 +218,9 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(model["toxic"], model["ordinary"])
-        w = model["weights"]
         for batch in batches:
             x = np.array([distance.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, N_FEATURES)
-            z = ((x - model["mean"]) / model["scale"]) @ w[:-1] + w[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "text_hash", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_score(x, model))], names=["doc_id", "text_hash", "score"])
 
     return rows.mapInArrow(tidied(run), "doc_id long, text_hash long, score double")
 
