@@ -75,21 +75,22 @@ def build(catalog: Catalog, r: Rewriting | Union, dedupe: bool = True, values: A
     return out.select(*r.query.project)
 
 
-def rewritings(catalog: Catalog, spec: QuerySpec | dict) -> list[Rewriting | Union]:
-    return alternatives(catalog.design, parse(catalog.spark, catalog.design.domain, spec))
+def rewritings(catalog: Catalog, spec: QuerySpec | dict, inherited: bool = True) -> list[Rewriting | Union]:
+    return alternatives(catalog.design, parse(catalog.spark, catalog.design.domain, spec, inherited))
 
 
-def query(catalog: Catalog, spec: QuerySpec | dict, choose: str = "fewest", dedupe: bool = True, values: Any = None) -> DataFrame:
+def query(catalog: Catalog, spec: QuerySpec | dict, choose: str = "fewest", dedupe: bool = True, values: Any = None, inherited: bool = True) -> DataFrame:
     """The answer of a query as a lazy DataFrame.
 
     choose: "fewest" takes the first rewriting (no instances lost, then fewest tables), "cost" the one with the least estimate.
     dedupe: answers are the bag that the fully normalised design gives; False leaves the repetitions of wider tables.
     values: what $1, $2 ... in the filter stand for.
+    inherited: whether * and Class_* include attributes of superclasses.
     """
     spec = QuerySpec.of(spec)
     if spec.filter and predicates.parameters(spec.filter) and values is None:
         raise ModelError("the filter has parameters: values are needed to run it")
-    found = rewritings(catalog, spec)
+    found = rewritings(catalog, spec, inherited)
     if choose not in ("fewest", "cost"):
         raise ModelError(f"choose by fewest or cost, not {choose}")
     if choose == "cost" and len(found) > 1:
