@@ -34,7 +34,7 @@ from .common import has_repeated_ids, text_of, tidied, written
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 25, 6
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Links that one task may join up, 16 bytes each; how many times more hubs each round has than the one before; see _ranked.
+#: Links that one task may join up, 16 bytes each; how many times more hubs each round has than the one before; see _candidates.
 IN_ONE_TASK, MORE_HUBS, PRUNINGS = 1_000_000, 16, 2
 
 
@@ -205,24 +205,24 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column(0).to_numpy(), [len(x) for x in each])), pa.array(np.concatenate(each))], names=["node", "shingle"])
 
 
-def _ranked(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """bucket, node, rank, size, shared, before (its smaller buckets) of the nodes that may be linked in a bucket.
+def _candidates(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """bucket, node, size, shared, members, before (its smaller buckets), place of the nodes that may be linked in a bucket.
 
     size: the node's shingles; shared: those that another node of a bucket has too. Two nodes have at most the lesser of their
     shared counts in common, which bounds their similarity: a node that is too much its own for the smallest node of a
-    bucket has no link there. The first ranks, the hubs, go to nodes with least of their own.
+    bucket has no link there. place orders the nodes: hubs are those with least of their own.
     """
-    by = Window.partitionBy("bucket")
     alive = members.select("bucket", "node")
     for _ in range(PRUNINGS):  # without the members that went, others may have too much of their own
         stats = _shared(sets.join(alive.select("node").distinct(), "node", "left_semi"))
-        every = alive.select("bucket", "node").join(stats, "node").withColumn("smallest", F.min("size").over(by))
-        may = every.where(F.col("smallest") <= F.col("shared") * (1 + 1 / least) - F.col("size") + 1e-6)
-        alive = written(may.withColumn("there", F.count(F.lit(1)).over(by)).where("there > 1").drop("there", "smallest"), "alive")
+        every = alive.select("bucket", "node").join(stats, "node")
+        may = every.join(every.groupBy("bucket").agg(F.min("size").alias("smallest")), "bucket").where(F.col("smallest") <= F.col("shared") * (1 + 1 / least) - F.col("size") + 1e-6)
+        there = may.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        alive = written(may.drop("smallest").join(there, "bucket"), "alive")
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    mine = alive.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-    ranked = alive.join(degree, "node").join(mine, "node").withColumn("rank", F.row_number().over(by.orderBy(-F.col("shared") / F.col("size"), F.desc("degree"), "node")))
-    return ranked.select("bucket", "node", "rank", "size", "shared", F.filter("buckets", lambda x: x < F.col("bucket")).alias("before"))
+    mine = alive.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # as many as there are bands at most
+    place = F.struct((-F.col("shared") / F.col("size")).alias("own"), (-F.col("degree")).alias("degree"), "node").alias("place")
+    return alive.join(degree, "node").join(mine, "node").select("bucket", "node", "size", "shared", "members", F.filter("buckets", lambda x: x < F.col("bucket")).alias("before"), place)
 
 
 def _shared(sets: DataFrame) -> DataFrame:
@@ -276,31 +276,33 @@ def star_rounds(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """A row per document: doc_id, class_id, class_size, kept, text_id (smallest id of the same words), text_hash."""
+    """A row per document: doc_id, class_id, class_size, kept, text_id (smallest id of the same words), text_hash, kept_hash (of the kept row)."""
     rows = written(_keyed(docs), "signatures")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash")
     nodes = rows.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     single = rows.groupBy("node").agg(F.min("row").alias("row"))
     members = rows.join(single, ["node", "row"]).select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")  # a bucket of one node links nothing
     members = written(members.join(sizes, "bucket"), "buckets")
     sets = written(_shingles(docs, members.select("node").distinct()), "shingles")
-    ranked = written(_ranked(members, sets, least), "ranked")
+    candidates = written(_candidates(members, sets, least), "candidates")
     links = tested = found = None
     at, hubs = 0, 1
     while True:
         if found is None:
-            now = ranked.withColumn("component", F.col("node"))
+            now = candidates.withColumn("component", F.col("node"))
         else:
-            now = ranked.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            spread = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("rank").alias("last"))
-            spread = spread.where((F.col("low") != F.col("high")) & (F.col("last") > at + 1)).select("bucket")
+            now = candidates.where(F.col("members") > at + 1).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            spread = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
             now = written(now.join(spread, "bucket", "left_semi"), "open")
         if now.isEmpty():
             break
-        hub = now.where(F.col("rank").between(at + 1, at + hubs)).select("bucket", *[F.col(x).alias(f"hub_{x}") for x in ("node", "component", "rank", "size", "shared", "before")])
+        # the first ranks only, so that each task passes on that many rows of a bucket and no bucket meets in one task
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("place"))
+        hub = now.select("bucket", *[F.col(x).alias(f"hub_{x}") for x in ("node", "component", "size", "shared", "before", "place")]).withColumnRenamed("hub_place", "place")
+        hub = hub.withColumn("rank", rank).where(F.col("rank") <= at + hubs).where(F.col("rank") > at).withColumnRenamed("place", "hub_place").drop("rank")
         may = F.least("shared", "hub_shared") >= least / (1 + least) * (F.col("size") + F.col("hub_size")) - 1e-9
-        new = now.join(hub, "bucket").where((F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component")) & may & ~F.arrays_overlap("before", "hub_before"))  # a pair counts in its first bucket only
+        new = now.join(hub, "bucket").where((F.col("place") > F.col("hub_place")) & (F.col("component") != F.col("hub_component")) & may & ~F.arrays_overlap("before", "hub_before"))  # a pair counts in its first bucket only
         new = new.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
         good = _similar(new, sets, least)
@@ -319,14 +321,15 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         (F.col("row") == F.col("head.row")).alias("kept"),
         F.col("first.doc_id").alias("text_id"),
         "text_hash",
+        F.col("head.text_hash").alias("kept_hash"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate class; columns unchanged."""
-    keep = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__k_id"), F.col("text_hash").alias("__k_hash")), "kept")
-    marked = docs.withColumn("__hash", F.xxhash64(text_of()))
-    out = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__k_id"]) & (F.col("__hash") == F.col("__k_hash")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    gone = written(near_duplicates(docs).where(~same).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")), "gone")
+    out = words.without(docs, gone)
     if has_repeated_ids(docs):  # rows with the same id and text are alike: one of them stays
-        out = out.dropDuplicates(["doc_id", "__hash"])
-    return out.drop("__hash")
+        out = out.withColumn("__text", F.xxhash64(text_of())).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return out

@@ -91,3 +91,16 @@ def probably_in(df: DataFrame, column: Column, values: DataFrame, name: str, fla
     joined = df.withColumn("__low", low).join(F.broadcast(bits), F.shiftright("__low", 6) == F.col("__word"), "left")
     hit = F.expr("(shiftrightunsigned(coalesce(__bits, 0L), cast(__low & 63 as int)) & 1) = 1")
     return joined.withColumn(flag, hit).drop("__low", "__word", "__bits")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and text hash (xxhash64, null as empty) are a __gone_id and __gone_hash; columns unchanged.
+
+    Rows that the filter of the hashes rules out stay where they are; only the others are shuffled and joined.
+    """
+    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = probably_in(marked, F.col("__hash"), gone, "__gone_hash", "__hit")
+    sure = marked.where("not __hit")
+    rest = marked.where("__hit")
+    rest = rest.join(gone, rest["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.col("__hash") == F.col("__gone_hash")), "left_anti")
+    return sure.unionByName(rest).drop("__hash", "__hit")
