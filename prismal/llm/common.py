@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
+#: Rows of texts that a worker gets at a time.
+BATCH, _BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: A word separator in the contracts: space and \t \n \v \f \r.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -70,8 +73,15 @@ def has_repeated_ids(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A worker function that gives freed memory back to the system at its end, as workers live on and share an executor's limit."""
+def worker(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for workers that keeps to an executor's memory.
+
+    Texts come in batches of at most BATCH rows, which is set for the session if it has more, and freed memory goes back to
+    the system at a task's end, as workers live on.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH:
+        spark.conf.set(_BATCH_SETTING, BATCH)
 
     @functools.wraps(run)
     def inner(batches: Iterator) -> Iterator:

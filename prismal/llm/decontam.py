@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_of, tidied, written
+from .common import text_of, worker, written
 
 K, LEAST, NEIGHBOUR, STRETCH, AGREE = 5, 0.8, 3, 1.5, 0.8
 #: An item table with at most so many windows is broadcast; a larger one is joined by shuffling.
@@ -91,7 +91,7 @@ def _windows(df: DataFrame, seen: np.ndarray | None) -> DataFrame:
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return df.mapInArrow(tidied(run), WINDOWS)
+    return df.mapInArrow(worker(run), WINDOWS)
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:
@@ -142,6 +142,5 @@ def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; columns unchanged."""
-    found = written(contaminated(docs, benchmark).select(F.col("c_id").alias("__c_id"), F.col("c_hash").alias("__c_hash")), "found")
-    same = docs["doc_id"].eqNullSafe(found["__c_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == found["__c_hash"])
-    return docs.join(found, same, "left_anti")
+    gone = contaminated(docs, benchmark).select(F.col("c_id").alias("__gone_id"), F.col("c_hash").alias("__gone_hash"))
+    return words.without(docs, written(gone, "gone"))

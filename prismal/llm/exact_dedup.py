@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, has_repeated_ids, text_of, written
+from .words import without
 
 #: Counters of each summary, and the most digests that it may propose.
 TRACKED, HEAVY_MOST = 8192, 1024
@@ -26,8 +27,8 @@ def normalised(text):
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, row (tells repeated rows apart), digest; written once as the text is read only here."""
-    return written(docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(normalised(text_of()), 256)).alias("digest")), "digests")
+    """doc_id, row (tells repeated rows apart), text_hash, digest; written once as the text is read only here."""
+    return written(docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_of()).alias("text_hash"), F.unhex(F.sha2(normalised(text_of()), 256)).alias("digest")), "digests")
 
 
 def heavy_hitters(rows: DataFrame, least: int) -> DataFrame:
@@ -41,21 +42,26 @@ def heavy_hitters(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _order():
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash")
 
 
 def _summary():
     return F.min(_order()).alias("first"), F.count(F.lit(1)).alias("group_size")
 
 
-def exact_dedup(docs: DataFrame, least: int = 32) -> DataFrame:
-    """A row per document: doc_id, keep_id, group_size, kept, text_sha256. least: rows that make a digest a heavy one."""
+def resolved(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, row, text_hash, digest of each document, first (the row that stays) and group_size."""
     rows = digests(docs)
     heavy = written(heavy_hitters(rows, least), "heavy")
     key = Window.partitionBy("digest")
     there = rows.join(F.broadcast(heavy), "digest")
-    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select("digest", "doc_id", "row", F.min(_order()).over(key).alias("first"), F.count(F.lit(1)).over(key).alias("group_size"))
-    return there.select(*rest.columns).unionByName(rest).select(
+    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select("digest", "doc_id", "row", "text_hash", F.min(_order()).over(key).alias("first"), F.count(F.lit(1)).over(key).alias("group_size"))
+    return there.select(*rest.columns).unionByName(rest)
+
+
+def exact_dedup(docs: DataFrame, least: int = 32) -> DataFrame:
+    """A row per document: doc_id, keep_id, group_size, kept, text_sha256. least: rows that make a digest a heavy one."""
+    return resolved(docs, least).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
@@ -64,14 +70,14 @@ def exact_dedup(docs: DataFrame, least: int = 32) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = 32) -> DataFrame:
     """docs without the rows that exact_dedup drops; columns unchanged."""
-    keep = written(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__k_id"), F.col("text_sha256").alias("__k_sha")), "kept")
-    marked = docs.withColumn("__sha", F.sha2(normalised(text_of()), 256))
-    out = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__k_id"]) & (F.col("__sha") == F.col("__k_sha")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = written(resolved(docs, least).where(~same).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")), "gone")
+    out = without(docs, gone)
     if has_repeated_ids(docs):  # rows with the same id and text are alike: one of them stays
-        out = out.dropDuplicates(["doc_id", "__sha"])
-    return out.drop("__sha")
+        out = out.withColumn("__text", F.xxhash64(text_of())).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return out
 
 
 OP1_SQL = r"""

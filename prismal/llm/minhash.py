@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import has_repeated_ids, text_of, tidied, written
+from .common import has_repeated_ids, text_of, worker, written
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 25, 6
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -151,7 +151,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", "text_hash", "node", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    return rows.mapInArrow(tidied(run), schema)
+    return rows.mapInArrow(worker(run), schema)
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets.append(_texts(own, codes).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    found = docs.select(text_of().alias("text")).mapInArrow(tidied(run), "node long, shingles binary")
+    found = docs.select(text_of().alias("text")).mapInArrow(worker(run), "node long, shingles binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -194,7 +194,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(worker(run), "a long, b long")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def _candidates(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def _shared(sets: DataFrame) -> DataFrame:
     """node, size and how many of its shingles another of the nodes has."""
-    alone = sets.select("node", "shingles").mapInArrow(tidied(_unpacked), "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = sets.select("node", "shingles").mapInArrow(worker(_unpacked), "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
     own = alone.groupBy(F.col("node").alias("o_node")).agg(F.count(F.lit(1)).alias("own"))
     stats = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size"))
     return stats.join(own, F.col("node") == F.col("o_node"), "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
@@ -255,7 +255,7 @@ def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
                 up[max(a, b)] = min(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in list(up)], pa.int64())], names=["node", "component"])
 
-    return links.select("a", "b").coalesce(1).mapInArrow(tidied(union), "node long, component long")
+    return links.select("a", "b").coalesce(1).mapInArrow(worker(union), "node long, component long")
 
 
 def star_rounds(links: DataFrame) -> DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import buckets, text_of, tidied, written
+from .common import buckets, text_of, worker, written
 
 LENGTH, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of a bucket when ranks are given out, and the most buckets (their offsets by length are broadcast).
-PER_BUCKET, MOST_BUCKETS = 50_000, 512
+PER_BUCKET, MOST_BUCKETS = 20_000, 256
 
 
 def cut(ids: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
             rows = [(i, *p) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in cut(tok.encode(text) + end, length)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(tidied(run), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(worker(run), PIECES)
 
 
 class _Sums:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import buckets, text_of, tidied, written
+from .common import buckets, text_of, worker, written
 
 LENGTH, GRAM = 50, 8
 #: Texts of a gram from which on its windows go one by one (their runs, of some 450 bytes, still fit a task); suffix runs of a partition.
@@ -90,7 +90,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["gram", "text_key", "place"])
 
-    return docs.select(_key().alias("text_key"), text_of().alias("text")).mapInArrow(tidied(run), "gram long, text_key long, place long")
+    return docs.select(_key().alias("text_key"), text_of().alias("text")).mapInArrow(worker(run), "gram long, text_key long, place long")
 
 
 RUNS = "gram long, text_key long, first long, at long, n int, codes binary, h1 long, h2 long"
@@ -134,7 +134,7 @@ def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     cols, size = [[] for _ in kinds], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RUNS.split(", ")])
 
-    return texts.mapInArrow(tidied(run), RUNS)
+    return texts.mapInArrow(worker(run), RUNS)
 
 
 def tree_nodes(codes: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -232,7 +232,7 @@ def _kept(df: DataFrame, length: int) -> DataFrame:
                 digests.append(hashlib.sha256(" ".join(own).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return df.mapInArrow(tidied(run), OUT)
+    return df.mapInArrow(worker(run), OUT)
 
 
 def op6_substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_of, tidied, written
+from .common import text_of, worker, written
 
 #: Labelled rows of a class that are learnt from at most; of them, one in CALIBRATE is for the weights alone.
 SAMPLE, CALIBRATE = 4000, 3
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             out = [(c, w, n) for c in (0, 1) for w, n in _recurrences(batch.loc[batch["toxic"] == c, "text"]).items()]
             yield pd.DataFrame(out, columns=["toxic", "window", "n"])
 
-    counts = rows.where("not calibrate").select("toxic", "text").mapInPandas(recur, "toxic int, window binary, n long").groupBy("toxic", "window").agg(F.sum("n").alias("n"))
+    counts = rows.where("not calibrate").select("toxic", "text").mapInPandas(worker(recur), "toxic int, window binary, n long").groupBy("toxic", "window").agg(F.sum("n").alias("n"))
     texts = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in rows.where("not calibrate").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = {}
     for c in (0, 1):
@@ -168,8 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         distances = [Distance(*p) for p in pairs]
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "features": [[f for d in distances for f in d.features(x)] for x in batch["text"]]})
+            for d in distances:
+                d.gains.clear()
 
-    measured = rows.where("calibrate").select("toxic", "text").mapInPandas(measure, "toxic int, features array<double>").toPandas()
+    measured = rows.where("calibrate").select("toxic", "text").mapInPandas(worker(measure), "toxic int, features array<double>").toPandas()
     order = measured["features"].map(str).argsort(kind="stable")  # the same folds whatever the order of rows
     y = measured["toxic"].to_numpy(float)[order]
     if len(set(y)) < 2:
@@ -222,7 +224,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
             x = np.array([distance.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_score(x, model))], names=["doc_id", "text_hash", "score"])
 
-    return rows.mapInArrow(tidied(run), "doc_id long, text_hash long, score double")
+    return rows.mapInArrow(worker(run), "doc_id long, text_hash long, score double")
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -231,6 +233,5 @@ def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows that score least or more; columns unchanged."""
-    out = written(scores(docs, fit(docs, labels)).where(F.col("score") >= least).select(F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_hash")), "toxic")
-    same = docs["doc_id"].eqNullSafe(out["__t_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == out["__t_hash"])
-    return docs.join(out, same, "left_anti")
+    gone = scores(docs, fit(docs, labels)).where(F.col("score") >= least).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
+    return words.without(docs, written(gone, "gone"))
