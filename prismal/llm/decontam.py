@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Words lose case and edge punctuation; numbers, names (words in capitals or with a capital first) and units after a number
-become typed placeholders whose words are kept aside as slots. Windows of five template tokens of the documents meet those
+become typed placeholders whose words are kept aside as slots. A window with names is also taken with the names as plain
+words, so that a passage in other case is found. Windows of five template tokens of the documents meet those
 of the benchmark items in a hash join on the window's hash; before it, a filter of fixed size drops in the workers nearly
 all windows that are in no item. Hits are counted by item and diagonal, neighbouring diagonals are merged, and an item
 counts as found if at least 0.8 of its windows stand there and the slots are consistent: one value of the document for each
@@ -39,38 +40,45 @@ UNITS = frozenset(
     "dollar dollars cent cents euro euros usd eur gbp percent degree degrees km/h mph w kw kwh v volt volts hz".split()
 )
 NUM, NAME, UNIT = 1, 2, 3
+#: In the low bits of a word's code: what it may be besides a plain word. A unit is one only if a number stands before it.
+KIND, NAMED_UNIT = 7, 4
 WINDOWS = "doc_id long, text_hash long, at int, hash long, slots array<string>"
 
 
+def folded(bare: str) -> str:
+    """A word without case: the same of its upper, lower and title form."""
+    return bare.upper().casefold()
+
+
 def _kind(word: str) -> int:
-    """The token's code: a placeholder, 0 for no word at all, or the hash of the bare word."""
+    """The word's code: 0 for no word at all, or the hash of the bare folded word with its kind in the low bits."""
     bare = EDGE.sub("", word)
     if not bare:
         return 0
-    if NUMBER.match(bare):
-        return NUM
+    low = folded(bare)
+    found = max(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~KIND, KIND + 1)
+    if NUMBER.match(low):
+        return found | NUM
     if bare[0].isupper() or bare[0].istitle():
-        return NAME
-    low = bare.lower()
-    if low in UNITS:
-        return (xxhash.xxh3_64_intdigest(low.encode()) | 15) ^ 2  # ends in 1101: a unit if a number stands before it
-    found = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
-    return found & ~3 | 16 if found & 15 == 13 or found < 16 else found
+        return found | (NAMED_UNIT if low in UNITS else NAME)
+    return found | UNIT if low in UNITS else found
 
 
-def template(text: str, codes: words.Codes) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Template codes, words, and the places of the slots."""
+def template(text: str, codes: words.Codes) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Codes with names as placeholders, codes with names as folded words, and words; placeholders are at most UNIT."""
     own = words.split(text)
     found = codes.of(own)
     if (found == 0).any():
         keep = np.flatnonzero(found)
         found, own = found[keep], [own[i] for i in keep]
-    unit = (found & np.uint64(15)) == 13
-    if unit.any():
-        unit[1:] &= found[:-1] == NUM
-        unit[0] = False
-        found = np.where(unit, np.uint64(UNIT), found)
-    return found, own, found <= UNIT
+    kind = found & np.uint64(KIND)
+    unit = (kind == UNIT) | (kind == NAMED_UNIT)
+    unit[1:] &= kind[:-1] == NUM
+    unit[:1] = False
+    plain = found - kind
+    plain[kind == NUM] = NUM
+    plain[unit] = UNIT
+    return np.where((kind == NAME) | (kind == NAMED_UNIT), np.uint64(NAME), plain), plain, own
 
 
 def _windows(df: DataFrame, seen: np.ndarray | None) -> DataFrame:
@@ -83,12 +91,16 @@ def _windows(df: DataFrame, seen: np.ndarray | None) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
             for i, h, text in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                tokens, own, slot = template(text, codes)
-                hashes = words.grams(tokens, K)
-                for at in range(len(hashes)) if seen is None else np.flatnonzero(words.passes(seen, hashes)):
-                    values = [f"{int(tokens[j])}:{EDGE.sub('', own[j]).lower()}" for j in range(at, at + K) if slot[j]]
-                    for c, x in zip(cols, (i, h, int(at), int(hashes[at].view(np.int64)), values), strict=True):
-                        c.append(x)
+                named, plain, own = template(text, codes)
+                hashes = words.grams(named, K)
+                other = words.grams(plain, K)
+                for tokens, own_hashes, here in ((named, hashes, None), (plain, other, hashes != other)):
+                    if seen is not None:
+                        here = words.passes(seen, own_hashes) if here is None else here & words.passes(seen, own_hashes)
+                    for at in range(len(own_hashes)) if here is None else np.flatnonzero(here):
+                        values = [f"{int(tokens[j])}:{folded(EDGE.sub('', own[j]))}" for j in range(at, at + K) if tokens[j] <= UNIT]
+                        for c, x in zip(cols, (i, h, int(at), int(own_hashes[at].view(np.int64)), values), strict=True):
+                            c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return df.mapInArrow(worker(run), WINDOWS)
@@ -102,7 +114,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, coverage, first, last (template tokens) of each item found in a text."""
     items = written(_windows(_rows(benchmark, "item_id"), None).dropDuplicates(["doc_id", "at", "hash"]), "items").select(F.col("doc_id").alias("item_id"), F.col("at").alias("place"), "hash", F.col("slots").alias("item_slots"))
     n_windows = items.count()
-    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
+    sizes = items.groupBy("item_id").agg(F.count_distinct("place").alias("windows"))
     items = items.join(sizes.withColumnRenamed("item_id", "s_id"), F.col("item_id").eqNullSafe(F.col("s_id"))).drop("s_id")
     seen = words.bitmap_array(items, "hash")
     hits = _windows(_rows(docs, "doc_id"), seen)
