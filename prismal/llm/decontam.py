@@ -4,9 +4,11 @@ Words lose case and edge punctuation; numbers, names (words in capitals or with
 become typed placeholders whose words are kept aside as slots. A window with names is also taken with the names as plain
 words, so that a passage in other case is found. Windows of five template tokens of the documents meet those
 of the benchmark items in a hash join on the window's hash; before it, a filter of fixed size drops in the workers nearly
-all windows that are in no item. Hits are counted by item and diagonal, neighbouring diagonals are merged, and an item
-counts as found if at least 0.8 of its windows stand there and the slots are consistent: one value of the document for each
-value of the item, so that a question with other numbers or names is caught and a mere likeness of form is not.
+all windows that are in no item. Hits are counted by item and diagonal, and neighbouring diagonals are merged. In a list of
+names or numbers windows also hit their neighbours, so each window of the item keeps one place only: a literally equal one,
+or else that on the diagonal with most hits. An item counts as found if at least 0.8 of its windows stand there, and as many
+literally or the slots are consistent: one value of the document for each value of the item, so that a question with other
+numbers or names is caught and a mere likeness of form is not.
 
 Cases: a null or empty text has no windows and is clean; an item of fewer than five words has no window and is never found;
 a null id or repeated rows are judged each by their text; an empty benchmark leaves all documents clean; no rows give no
@@ -120,19 +122,25 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = _windows(_rows(docs, "doc_id"), seen)
     joined = hits.join(F.broadcast(items) if n_windows <= BROADCAST_WINDOWS else items, "hash")
     pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
-    votes = joined.groupBy("doc_id", "text_hash", "item_id", "windows", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    text = ["doc_id", "text_hash", "item_id", "windows"]
+    hit = F.struct("place", F.col("item_slots").eqNullSafe(F.col("slots")).alias("literal"), pairs.alias("pairs"))
+    votes = joined.groupBy(*text, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set(hit).alias("hits"), F.count_distinct("place").alias("votes"))
     own = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy("diagonal")
     opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > NEIGHBOUR).cast("int"), F.lit(0))
     runs = votes.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "text_hash", "item_id", "windows", "run").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hit"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-        F.min(F.col("diagonal") + F.array_min("places")).alias("first"),
-        (F.max(F.col("diagonal") + F.array_max("places")) + K - 1).alias("last"),
+    # A place of the item stands once in a run: where the window is literally equal, or else on the diagonal with most votes.
+    ways = runs.select(*text, "run", "votes", "diagonal", F.explode("hits").alias("hit"))
+    chosen = ways.groupBy(*text, "run", F.col("hit.place").alias("place")).agg(F.max(F.struct("hit.literal", "votes", "diagonal", "hit.pairs")).alias("way"))
+    at = F.col("way.diagonal") + F.col("place")
+    spans = chosen.groupBy(*text, "run").agg(
+        F.least(F.count(F.lit(1)), F.count_distinct(at)).alias("hit"),
+        F.least(F.count_if("way.literal"), F.count_distinct(F.when(F.col("way.literal"), at))).alias("literal"),
+        F.array_distinct(F.flatten(F.collect_set("way.pairs"))).alias("pairs"),
+        F.min(at).alias("first"),
+        (F.max(at) + K - 1).alias("last"),
     )
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    consistent = values >= AGREE * F.size("pairs")
+    consistent = (values >= AGREE * F.size("pairs")) | (F.col("literal") / F.col("windows") >= LEAST)
     near = (F.col("last") - F.col("first") + 1) <= STRETCH * (F.col("windows") + K - 1)
     share = F.col("hit") / F.col("windows")
     return spans.where((share >= LEAST) & consistent & near).select("doc_id", "text_hash", "item_id", share.alias("coverage"), "first", "last")

@@ -20,3 +20,18 @@ def test_items_in_other_case(spark, form):
     rows.append((4, form(prose(4, 60))))
     got = found(spark, items, rows)
     assert {i: r["item_ids"] for i, r in got.items()} == {1: [1], 2: [2], 3: [1], 4: []} and got[1]["coverage"] == got[2]["coverage"] == 1
+
+
+def test_many_slots_in_a_row(spark):
+    items = [
+        (1, "Put these presidents in order of birth: Washington, Adams, Jefferson, Madison, Monroe, Jackson and then say why"),
+        (2, "what comes next in the sequence 2, 3, 5, 8, 13, 21, 34 and how do you know"),
+        (3, "Who Wrote The Novel Pride And Prejudice and in which year"),
+        (4, "7 11 13 17 19 23 29 31 37 41"),
+    ]
+    rows = [(i, f"{prose(60 + i, 20)} {t} {prose(70 + i, 20)}") for i, t in items]
+    rows.append((5, "what comes next in the sequence 4, 6, 10, 16, 26, 42, 68 and how do you know"))
+    rows.append((6, f"{prose(7, 20)} 5 5 5 5 5 {prose(8, 20)}"))
+    got = found(spark, items, rows)
+    assert {i: r["item_ids"] for i, r in got.items()} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [2], 6: []}
+    assert all(got[i]["coverage"] == 1 for i in range(1, 6))
