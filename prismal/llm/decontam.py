@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
 Words lose case and edge punctuation; numbers, names (words in capitals or with a capital first) and units after a number
-become typed placeholders whose words are kept aside as slots. A window with names is also taken with the names as plain
+become typed placeholders whose words are kept aside as slots; an amount like 120km counts as two words. A window with names is also taken with the names as plain
 words, so that a passage in other case is found. Windows of five template tokens of the documents meet those
 of the benchmark items in a hash join on the window's hash; before it, a filter of fixed size drops in the workers nearly
 all windows that are in no item. Hits are counted by item and diagonal, and neighbouring diagonals are merged. In a list of
@@ -34,7 +34,7 @@ K, LEAST, NEIGHBOUR, STRETCH, AGREE = 5, 0.8, 3, 1.5, 0.8
 BROADCAST_WINDOWS = 200_000
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 NUMBER = regex.compile(r"^\p{N}+(?:[.,:/]\p{N}+)*(?:st|nd|rd|th)?$")
-AMOUNT = regex.compile(r"^(\p{N}+(?:[.,]\p{N}+)*)(\p{L}+)$")
+AMOUNT = regex.compile(r"^(\p{N}+(?:[.,]\p{N}+)*)(\p{L}+(?:/\p{L}+)?)$")
 # Units of measure and money that follow a number.
 UNITS = frozenset(
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonnes lb lbs pound pounds oz ounce ounces "
@@ -43,7 +43,8 @@ UNITS = frozenset(
 )
 NUM, NAME, UNIT = 1, 2, 3
 #: In the low bits of a word's code: what it may be besides a plain word. A unit is one only if a number stands before it.
-KIND, NAMED_UNIT = 7, 4
+#: An amount is a number glued to a unit or another word.
+KIND, NAMED_UNIT, GLUED = 7, 4, 5
 WINDOWS = "doc_id long, text_hash long, at int, hash long, slots array<string>"
 
 
@@ -61,6 +62,8 @@ def _kind(word: str) -> int:
     found = max(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~KIND, KIND + 1)
     if NUMBER.match(low):
         return found | NUM
+    if AMOUNT.match(bare):
+        return found | GLUED
     if bare[0].isupper() or bare[0].istitle():
         return found | (NAMED_UNIT if low in UNITS else NAME)
     return found | UNIT if low in UNITS else found
@@ -70,6 +73,10 @@ def template(text: str, codes: words.Codes) -> tuple[np.ndarray, np.ndarray, lis
     """Codes with names as placeholders, codes with names as folded words, and words; placeholders are at most UNIT."""
     own = words.split(text)
     found = codes.of(own)
+    glued = (found & np.uint64(KIND)) == GLUED
+    if glued.any():
+        own = [x for w, g in zip(own, glued.tolist(), strict=True) for x in (AMOUNT.match(EDGE.sub("", w)).groups() if g else (w,))]
+        found = codes.of(own)
     if (found == 0).any():
         keep = np.flatnonzero(found)
         found, own = found[keep], [own[i] for i in keep]

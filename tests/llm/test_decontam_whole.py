@@ -35,3 +35,16 @@ def test_many_slots_in_a_row(spark):
     got = found(spark, items, rows)
     assert {i: r["item_ids"] for i, r in got.items()} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [2], 6: []}
     assert all(got[i]["coverage"] == 1 for i in range(1, 6))
+
+
+def test_amounts(spark):
+    item = "A train travels 120km before it stops for 15min and then goes on for 80km at 90km/h until it is home"
+    rows = [
+        (1, item),
+        (2, item.replace("120", "95").replace("15", "20").replace("80", "60").replace("90", "70")),
+        (3, item.replace("0km", "0 km").replace("min", " min")),
+        (4, item.upper().replace("MIN", " MIN")),
+        (5, item.replace("120km", "far").replace("15min", "long").replace("80km", "more").replace("90km/h", "speed")),
+    ]
+    got = found(spark, [(1, item)], rows)
+    assert {i: r["coverage"] for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
