@@ -11,7 +11,8 @@ literally or the slots are consistent: one value of the document for each value
 numbers or names is caught and a mere likeness of form is not.
 
 Cases: a null or empty text has no windows and is clean; an item of fewer than five words has no window and is never found;
-a null id or repeated rows are judged each by their text; an empty benchmark leaves all documents clean; no rows give no
+a null id or repeated rows are judged each by their text; items with one id or none are an item for each text, and a text that
+holds items without an id is contaminated though item_ids can't name them; an empty benchmark leaves all documents clean; no rows give no
 rows; other columns are ignored.
 """
 
@@ -121,18 +122,18 @@ def _rows(df: DataFrame, key: str) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, coverage, first, last (template tokens) of each item found in a text."""
-    items = written(_windows(_rows(benchmark, "item_id"), None).dropDuplicates(["doc_id", "at", "hash"]), "items").select(F.col("doc_id").alias("item_id"), F.col("at").alias("place"), "hash", F.col("slots").alias("item_slots"))
+    items = written(_windows(_rows(benchmark, "item_id"), None).dropDuplicates(["doc_id", "text_hash", "at", "hash"]), "items").select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("at").alias("place"), "hash", F.col("slots").alias("item_slots"))
     n_windows = items.count()
-    sizes = items.groupBy("item_id").agg(F.count_distinct("place").alias("windows"))
-    items = items.join(sizes.withColumnRenamed("item_id", "s_id"), F.col("item_id").eqNullSafe(F.col("s_id"))).drop("s_id")
+    sizes = items.groupBy(F.col("item_id").alias("s_id"), F.col("item_hash").alias("s_hash")).agg(F.count_distinct("place").alias("windows"))
+    items = items.join(sizes, F.col("item_id").eqNullSafe(F.col("s_id")) & (F.col("item_hash") == F.col("s_hash"))).drop("s_id", "s_hash")
     seen = words.bitmap_array(items, "hash")
     hits = _windows(_rows(docs, "doc_id"), seen)
     joined = hits.join(F.broadcast(items) if n_windows <= BROADCAST_WINDOWS else items, "hash")
     pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
-    text = ["doc_id", "text_hash", "item_id", "windows"]
+    text = ["doc_id", "text_hash", "item_id", "item_hash", "windows"]
     hit = F.struct("place", F.col("item_slots").eqNullSafe(F.col("slots")).alias("literal"), pairs.alias("pairs"))
     votes = joined.groupBy(*text, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set(hit).alias("hits"), F.count_distinct("place").alias("votes"))
-    own = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy("diagonal")
+    own = Window.partitionBy("doc_id", "text_hash", "item_id", "item_hash").orderBy("diagonal")
     opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > NEIGHBOUR).cast("int"), F.lit(0))
     runs = votes.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     # A place of the item stands once in a run: where the window is literally equal, or else on the diagonal with most votes.

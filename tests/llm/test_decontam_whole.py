@@ -48,3 +48,13 @@ def test_amounts(spark):
     ]
     got = found(spark, [(1, item)], rows)
     assert {i: r["coverage"] for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
+def test_items_with_shared_ids(spark):
+    items = [(None, prose(600, 30)), (None, prose(601, 30)), (7, prose(602, 30)), (7, prose(603, 30)), (7, prose(603, 30))]
+    rows = [(i, f"{prose(60 + i, 20)} {t} {prose(70 + i, 20)}") for i, (_, t) in enumerate(items)]
+    rows += [(10, f"{items[0][1]} {items[1][1]}"), (11, prose(11, 60))]
+    got = found(spark, items, rows)
+    assert {i: (r["contaminated"], r["item_ids"], r["coverage"]) for i, r in got.items()} == {
+        0: (True, [], 1), 1: (True, [], 1), 2: (True, [7], 1), 3: (True, [7], 1), 4: (True, [7], 1), 10: (True, [], 1), 11: (False, [], 0),
+    }
