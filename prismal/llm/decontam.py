@@ -10,7 +10,8 @@ or else that on the diagonal with most hits. An item counts as found if at least
 literally or the slots are consistent: one value of the document for each value of the item, so that a question with other
 numbers or names is caught and a mere likeness of form is not.
 
-Cases: a null or empty text has no windows and is clean; an item of fewer than five words has no window and is never found;
+Cases: a null or empty text has no windows and is clean; an item of fewer than five words is found where all of it
+stands word by word, without regard to case, as the mere form of so few words stands anywhere;
 a null id or repeated rows are judged each by their text; items with one id or none are an item for each text, and a text that
 holds items without an id is contaminated though item_ids can't name them; an empty benchmark leaves all documents clean; no rows give no
 rows; other columns are ignored.
@@ -46,7 +47,7 @@ NUM, NAME, UNIT = 1, 2, 3
 #: In the low bits of a word's code: what it may be besides a plain word. A unit is one only if a number stands before it.
 #: An amount is a number glued to a unit or another word.
 KIND, NAMED_UNIT, GLUED = 7, 4, 5
-WINDOWS = "doc_id long, text_hash long, at int, hash long, slots array<string>"
+WINDOWS = "doc_id long, text_hash long, at int, hash long, slots array<string>, length int"
 
 
 def folded(bare: str) -> str:
@@ -70,8 +71,8 @@ def _kind(word: str) -> int:
     return found | UNIT if low in UNITS else found
 
 
-def template(text: str, codes: words.Codes) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes with names as placeholders, codes with names as folded words, and words; placeholders are at most UNIT."""
+def template(text: str, codes: words.Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Codes with names as placeholders, with names as folded words, with all as folded words; words. Placeholders are at most UNIT."""
     own = words.split(text)
     found = codes.of(own)
     glued = (found & np.uint64(KIND)) == GLUED
@@ -85,23 +86,28 @@ def template(text: str, codes: words.Codes) -> tuple[np.ndarray, np.ndarray, lis
     unit = (kind == UNIT) | (kind == NAMED_UNIT)
     unit[1:] &= kind[:-1] == NUM
     unit[:1] = False
-    plain = found - kind
+    literal = found - kind
+    plain = literal.copy()
     plain[kind == NUM] = NUM
     plain[unit] = UNIT
-    return np.where((kind == NAME) | (kind == NAMED_UNIT), np.uint64(NAME), plain), plain, own
+    return np.where((kind == NAME) | (kind == NAMED_UNIT), np.uint64(NAME), plain), plain, literal, own
 
 
-def _windows(df: DataFrame, seen: np.ndarray | None) -> DataFrame:
-    """WINDOWS of each text; with a filter, only those that it lets pass."""
+def _windows(df: DataFrame, seen: np.ndarray | None, short: tuple[int, ...] = ()) -> DataFrame:
+    """WINDOWS of each text; with a filter, only those that it lets pass.
+
+    A text shorter than K has one window, all of it, of folded words; with a filter, each text has such windows of the lengths
+    in short, of equal ones the first.
+    """
     names = [x.split()[0] for x in WINDOWS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = words.Codes(_kind)
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
             for i, h, text in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                named, plain, own = template(text, codes)
+                named, plain, literal, own = template(text, codes)
                 hashes = words.grams(named, K)
                 other = words.grams(plain, K)
                 for tokens, own_hashes, here in ((named, hashes, None), (plain, other, hashes != other)):
@@ -109,7 +115,12 @@ def _windows(df: DataFrame, seen: np.ndarray | None) -> DataFrame:
                         here = words.passes(seen, own_hashes) if here is None else here & words.passes(seen, own_hashes)
                     for at in range(len(own_hashes)) if here is None else np.flatnonzero(here):
                         values = [f"{int(tokens[j])}:{folded(EDGE.sub('', own[j]))}" for j in range(at, at + K) if tokens[j] <= UNIT]
-                        for c, x in zip(cols, (i, h, int(at), int(own_hashes[at].view(np.int64)), values), strict=True):
+                        for c, x in zip(cols, (i, h, int(at), int(own_hashes[at].view(np.int64)), values, K), strict=True):
+                            c.append(x)
+                for k in short if seen is not None else (len(own),) if 0 < len(own) < K else ():
+                    wholes, first = np.unique(words.grams(literal, k), return_index=True)
+                    for j in range(len(wholes)) if seen is None else np.flatnonzero(words.passes(seen, wholes)):
+                        for c, x in zip(cols, (i, h, int(first[j]), int(wholes[j].view(np.int64)), [], k), strict=True):
                             c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -122,15 +133,16 @@ def _rows(df: DataFrame, key: str) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, coverage, first, last (template tokens) of each item found in a text."""
-    items = written(_windows(_rows(benchmark, "item_id"), None).dropDuplicates(["doc_id", "text_hash", "at", "hash"]), "items").select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("at").alias("place"), "hash", F.col("slots").alias("item_slots"))
+    items = written(_windows(_rows(benchmark, "item_id"), None).dropDuplicates(["doc_id", "text_hash", "at", "hash"]), "items").select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("at").alias("place"), "hash", F.col("slots").alias("item_slots"), "length")
     n_windows = items.count()
     sizes = items.groupBy(F.col("item_id").alias("s_id"), F.col("item_hash").alias("s_hash")).agg(F.count_distinct("place").alias("windows"))
     items = items.join(sizes, F.col("item_id").eqNullSafe(F.col("s_id")) & (F.col("item_hash") == F.col("s_hash"))).drop("s_id", "s_hash")
     seen = words.bitmap_array(items, "hash")
-    hits = _windows(_rows(docs, "doc_id"), seen)
+    short = tuple(r[0] for r in items.where(F.col("length") < K).select("length").distinct().collect())  # K - 1 of them at most
+    hits = _windows(_rows(docs, "doc_id"), seen, short).drop("length")
     joined = hits.join(F.broadcast(items) if n_windows <= BROADCAST_WINDOWS else items, "hash")
     pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
-    text = ["doc_id", "text_hash", "item_id", "item_hash", "windows"]
+    text = ["doc_id", "text_hash", "item_id", "item_hash", "windows", "length"]
     hit = F.struct("place", F.col("item_slots").eqNullSafe(F.col("slots")).alias("literal"), pairs.alias("pairs"))
     votes = joined.groupBy(*text, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set(hit).alias("hits"), F.count_distinct("place").alias("votes"))
     own = Window.partitionBy("doc_id", "text_hash", "item_id", "item_hash").orderBy("diagonal")
@@ -145,11 +157,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.least(F.count_if("way.literal"), F.count_distinct(F.when(F.col("way.literal"), at))).alias("literal"),
         F.array_distinct(F.flatten(F.collect_set("way.pairs"))).alias("pairs"),
         F.min(at).alias("first"),
-        (F.max(at) + K - 1).alias("last"),
+        (F.max(at) + F.col("length") - 1).alias("last"),
     )
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
     consistent = (values >= AGREE * F.size("pairs")) | (F.col("literal") / F.col("windows") >= LEAST)
-    near = (F.col("last") - F.col("first") + 1) <= STRETCH * (F.col("windows") + K - 1)
+    near = (F.col("last") - F.col("first") + 1) <= STRETCH * (F.col("windows") + F.col("length") - 1)
     share = F.col("hit") / F.col("windows")
     return spans.where((share >= LEAST) & consistent & near).select("doc_id", "text_hash", "item_id", share.alias("coverage"), "first", "last")
 

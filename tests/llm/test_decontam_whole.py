@@ -58,3 +58,16 @@ def test_items_with_shared_ids(spark):
     assert {i: (r["contaminated"], r["item_ids"], r["coverage"]) for i, r in got.items()} == {
         0: (True, [], 1), 1: (True, [], 1), 2: (True, [7], 1), 3: (True, [7], 1), 4: (True, [7], 1), 10: (True, [], 1), 11: (False, [], 0),
     }
+
+
+def test_short_items(spark):
+    items = [(1, "what is 3 + 4"), (2, "Name Tom"), (3, "photosynthesis"), (4, "!?"), (5, prose(500, 40))]
+    rows = [
+        (1, f"{prose(1, 20)} What is 3 + 4? {prose(2, 20)}"),
+        (2, "name tom"),
+        (3, f"Photosynthesis {prose(3, 20)} photosynthesis, what is 3 and 4"),
+        (4, f"{prose(4, 20)} what is 5 + 6 Name Ann !?"),
+        (5, f"{items[4][1]} NAME TOM"),
+    ]
+    got = found(spark, items, rows)
+    assert {i: r["item_ids"] for i, r in got.items()} == {1: [1], 2: [2], 3: [3], 4: [], 5: [2, 5]}
