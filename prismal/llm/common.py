@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import math
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_LEAVING: set[str] = set()
 
 #: Rows of texts that a worker gets at a time.
 BATCH, _BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -31,6 +33,19 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text that isn't null: two texts of 10^12 share a key with a chance of 10^-15."""
+    return F.unhex(F.md5(text))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; an own one only in local mode without the setting."""
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,30 +62,60 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/prismal-{spark.sparkContext.applicationId}"
+    """The folder of this application's tables, which goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/prismal-{spark.sparkContext.applicationId}"
+    if folder not in _LEAVING:
+        system, path = _path(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _LEAVING.add(folder)
+    return folder
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes the tables that this application's operators wrote; their results can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    system, path = _path(spark, _folder(spark))
+    system.delete(path, True)
+    _LEAVING.clear()
+
 
+def written(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, so lost executors cost no recomputation.
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, so lost executors cost no recomputation."""
+    instead: a written table that this one takes the place of; nothing may read it any more, and it is deleted.
+    """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if instead is not None:
+        system, old = _path(spark, instead.written_to)
+        system.delete(old, True)
+    return out
 
 
-def buckets(rows: int, per_bucket: int, most: int = 1 << 16) -> int:
+def buckets(rows: int, per_bucket: int) -> int:
     """How many buckets hold about per_bucket rows each."""
-    return max(1, min(most, -(-rows // per_bucket)))
+    return max(1, -(-rows // per_bucket))
+
+
+def rank_buckets(rows: int) -> int:
+    """Buckets for ranks in two levels: as many as a bucket has rows, so that neither level outgrows the root of the rows."""
+    return max(1, math.isqrt(rows))
 
 
-def has_repeated_ids(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of those with the same id and text, which no id tells apart; nothing is shuffled but ids if there are none."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return docs
+    key = fresh(docs, "text_key")
+    return docs.withColumn(key, text_key(text_of())).dropDuplicates(["doc_id", key]).drop(key)
 
 
 def worker(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import has_repeated_ids, text_of, worker, written
+from .common import one_of_each, text_key, text_of, worker, written
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 32, 6
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Links that one task may join up, 16 bytes each; how many times more hubs each round has than the one before; see _candidates.
-IN_ONE_TASK, MORE_HUBS, PRUNINGS = 1_000_000, 16, 2
+#: Links that one task may join up, 16 bytes each; how many times more hubs each round has than the one before.
+IN_ONE_TASK, MORE_HUBS = 1_000_000, 16
+#: Members are pruned again as long as less than this share of them stays.
+AGAIN = 0.75
 
 
 def _cells(enough: float) -> Iterator[tuple[int, float, float, int]]:
@@ -127,58 +129,62 @@ def _low(text: str) -> list[str]:
     return words.split(text.lower())
 
 
-def _key(own: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest("\x00".join(own).encode("utf-8", "surrogatepass")) - (1 << 63)
+def _key(own: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest("\x00".join(own).encode("utf-8", "surrogatepass"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text_hash, node and the bands of each row's text."""
-    schema = "doc_id long, row long, text_hash long, node long, bands array<long>"
+    """doc_id, row, text_key, key (of the words) and the bands of each row's text."""
+    schema = "doc_id long, row long, text_key binary, key binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, last = words.Codes(), {}
         for batch in batches:
-            nodes, made = [], []
+            keys, made = [], []
             for text in batch.column(3).to_pylist():
                 own = _low(text)
-                node = _key(own)
-                if node not in last:
+                key = _key(own)
+                if key not in last:
                     if len(last) > 2000:
                         last.clear()
-                    last[node] = words.signed(bands(signature(_texts(own, codes)))) if own else np.zeros(0, np.int64)
-                nodes.append(node)
-                made.append(last[node])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", "text_hash", "node", "bands"])
+                    last[key] = words.signed(bands(signature(_texts(own, codes)))) if own else np.zeros(0, np.int64)
+                keys.append(key)
+                made.append(last[key])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", "text_key", "key", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_key(text_of()).alias("text_key"), text_of().alias("text"))
     return rows.mapInArrow(worker(run), schema)
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its sorted shingle hashes as bytes, of the nodes in wanted[node] and a few that their filter lets pass."""
-    seen = words.bitmap_array(wanted, "node")
+    """node and its sorted shingle hashes as bytes, of the nodes in wanted (node, key)."""
+    seen = words.bitmap_array(wanted.select(F.xxhash64("key").alias("short")), "short")
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(_low(t)) for t in batch.column(0).to_pylist()], pa.binary())], names=["text", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, done = words.Codes(), set()
         for batch in batches:
-            nodes, sets = [], []
-            for text in batch.column(0).to_pylist():
-                own = _low(text)
-                node = _key(own)
-                if node in done or not words.passes(seen, np.array([node], np.int64).view(np.uint64))[0]:
+            keys, sets = [], []
+            near = words.passes(seen, batch.column(2).to_numpy().view(np.uint64))
+            for text, key, here in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), near.tolist(), strict=True):
+                if not here or key in done:
                     continue
                 if len(done) < 200_000:
-                    done.add(node)
-                nodes.append(node)
-                sets.append(_texts(own, codes).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                    done.add(key)
+                keys.append(key)
+                sets.append(_texts(_low(text), codes).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    found = docs.select(text_of().alias("text")).mapInArrow(worker(run), "node long, shingles binary")
-    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    keyed = docs.select(text_of().alias("text")).mapInArrow(worker(low), "text string, key binary").select("text", "key", F.xxhash64("key").alias("short"))
+    found = keyed.mapInArrow(worker(run), "key binary, shingles binary")
+    return found.join(wanted, "key").groupBy("key", "node").agg(F.first("shingles").alias("shingles")).select("node", "shingles")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs whose shingle sets are similar enough."""
+    """a, b of the pairs whose shingle sets are similar enough. Only sets that a pair needs are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +198,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(both >= least * (len(a) + len(b) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(worker(run), "a long, b long")
+    def of(side: str, name: str) -> DataFrame:
+        needed = pairs.select(F.xxhash64(side).alias("short"))
+        return words.probably_in(sets, F.xxhash64("node"), needed, "short", "hit").where("hit").select(F.col("node").alias(side), F.col("shingles").alias(name))
+
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(worker(run), "a long, b long")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +218,23 @@ def _candidates(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     size: the node's shingles; shared: those that another node of a bucket has too. Two nodes have at most the lesser of their
     shared counts in common, which bounds their similarity: a node that is too much its own for the smallest node of a
-    bucket has no link there. place orders the nodes: hubs are those with least of their own.
+    bucket has no link there. Without the members that went, others may have too much of their own, so that the bound is
+    taken again as long as it takes many away. place orders the nodes: hubs are those with least of their own.
+
+    What is known of a bucket is written before it is joined to the members, so that the join of a hot one can be split.
     """
-    alive = members.select("bucket", "node")
-    for _ in range(PRUNINGS):  # without the members that went, others may have too much of their own
-        stats = _shared(sets.join(alive.select("node").distinct(), "node", "left_semi"))
+    alive, own, n = members, sets, members.count()
+    while True:
+        stats = written(_shared(own), "shared")
         every = alive.select("bucket", "node").join(stats, "node")
-        may = every.join(every.groupBy("bucket").agg(F.min("size").alias("smallest")), "bucket").where(F.col("smallest") <= F.col("shared") * (1 + 1 / least) - F.col("size") + 1e-6)
-        there = may.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        alive = written(may.drop("smallest").join(there, "bucket"), "alive")
+        low = written(every.groupBy("bucket").agg(F.min("size").alias("smallest")), "smallest")
+        may = written(every.join(low, "bucket").where(F.col("smallest") <= F.col("shared") * (1 + 1 / least) - F.col("size") + 1e-6).drop("smallest"), "may")
+        there = written(may.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "there")
+        alive = written(may.join(there, "bucket"), "alive")
+        before, n = n, alive.count()
+        if n >= AGAIN * before:
+            break
+        own = sets.join(alive.select("node").distinct(), "node", "left_semi")
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     mine = alive.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # as many as there are bands at most
     place = F.struct((-F.col("shared") / F.col("size")).alias("own"), (-F.col("degree")).alias("degree"), "node").alias("place")
@@ -276,60 +292,57 @@ def star_rounds(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """A row per document: doc_id, class_id, class_size, kept, text_id (smallest id of the same words), text_hash, kept_hash (of the kept row)."""
+    """A row per document: doc_id, class_id, class_size, kept, text_id (smallest id of the same words), text_key, kept_key (of the kept row)."""
     rows = written(_keyed(docs), "signatures")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash")
-    nodes = rows.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    single = rows.groupBy("node").agg(F.min("row").alias("row"))
-    members = rows.join(single, ["node", "row"]).select("node", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")  # a bucket of one node links nothing
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_key")
+    nodes = rows.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.min("row").alias("node"))  # a node's number is a row's
+    members = rows.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
+    sizes = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")  # a bucket of one node links nothing
     members = written(members.join(sizes, "bucket"), "buckets")
-    sets = written(_shingles(docs, members.select("node").distinct()), "shingles")
+    wanted = written(rows.select(F.col("row").alias("node"), "key").join(members.select("node").distinct(), "node"), "wanted")
+    sets = written(_shingles(docs, wanted), "shingles")
     candidates = written(_candidates(members, sets, least), "candidates")
-    links = tested = found = None
+    links = tested = found = now = None
     at, hubs = 0, 1
     while True:
         if found is None:
             now = candidates.withColumn("component", F.col("node"))
         else:
-            now = candidates.where(F.col("members") > at + 1).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            spread = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-            now = written(now.join(spread, "bucket", "left_semi"), "open")
+            each = candidates.where(F.col("members") > at + 1).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            spread = written(each.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket"), "spread")
+            now = written(each.join(spread, "bucket", "left_semi"), "open", now if at > 1 else None)
         if now.isEmpty():
             break
         # the first ranks only, so that each task passes on that many rows of a bucket and no bucket meets in one task
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("place"))
         hub = now.select("bucket", *[F.col(x).alias(f"hub_{x}") for x in ("node", "component", "size", "shared", "before", "place")]).withColumnRenamed("hub_place", "place")
-        hub = hub.withColumn("rank", rank).where(F.col("rank") <= at + hubs).where(F.col("rank") > at).withColumnRenamed("place", "hub_place").drop("rank")
+        hub = written(hub.withColumn("rank", rank).where(F.col("rank") <= at + hubs).where(F.col("rank") > at).withColumnRenamed("place", "hub_place").drop("rank"), "hubs")
         may = F.least("shared", "hub_shared") >= least / (1 + least) * (F.col("size") + F.col("hub_size")) - 1e-9
         new = now.join(hub, "bucket").where((F.col("place") > F.col("hub_place")) & (F.col("component") != F.col("hub_component")) & may & ~F.arrays_overlap("before", "hub_before"))  # a pair counts in its first bucket only
         new = new.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
         good = _similar(new, sets, least)
-        links = written(good if links is None else good.unionByName(links), "good")
+        links = written(good if links is None else good.unionByName(links), "good", links)
         tested = new if tested is None else tested.unionByName(new)
-        found = written(components(links), "components")
+        found = written(components(links), "components", found)
         at, hubs = at + hubs, hubs * MORE_HUBS
     label = nodes if links is None else nodes.join(found, "node", "left")
     label = label.withColumn("component", F.col("node") if links is None else F.coalesce("component", "node"))
     classes = label.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
-    named = label.join(classes, "component").select("node", "first", "head", "class_size")
-    return rows.select("doc_id", "row", "text_hash", "node").join(named, "node").select(
+    named = written(label.join(classes, "component").select("key", "first", "head", "class_size"), "named")
+    return rows.select("doc_id", "row", "text_key", "key").join(named, "key").select(
         "doc_id",
         F.col("head.doc_id").alias("class_id"),
         F.col("class_size").cast("long").alias("class_size"),
         (F.col("row") == F.col("head.row")).alias("kept"),
         F.col("first.doc_id").alias("text_id"),
-        "text_hash",
-        F.col("head.text_hash").alias("kept_hash"),
+        "text_key",
+        F.col("head.text_key").alias("kept_key"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate class; columns unchanged."""
-    same = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("kept_hash"))
-    gone = written(near_duplicates(docs).where(~same).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")), "gone")
-    out = words.without(docs, gone)
-    if has_repeated_ids(docs):  # rows with the same id and text are alike: one of them stays
-        out = out.withColumn("__text", F.xxhash64(text_of())).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return out
+    same = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("kept_key"))
+    gone = written(near_duplicates(docs).where(~same).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "gone")
+    return one_of_each(words.without(docs, gone))

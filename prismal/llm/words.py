@@ -8,6 +8,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, text_key, text_of
+
 #: What a cache of codes holds at most; it starts anew beyond.
 CACHE = 200_000
 _ODD = regex.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -86,21 +88,24 @@ def passes(filter_words: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def probably_in(df: DataFrame, column: Column, values: DataFrame, name: str, flag: str) -> DataFrame:
     """df with a flag column: whether the filter of values[name] lets column pass. The filter is broadcast, its size is fixed."""
-    bits = bitmap(values, name).withColumnsRenamed({"word": "__word", "bits": "__bits"})
+    word, bit, at = (fresh(df, x) for x in ("filter_word", "filter_bits", "filter_at"))
+    bits = bitmap(values, name).withColumnsRenamed({"word": word, "bits": bit})
     low = column.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    joined = df.withColumn("__low", low).join(F.broadcast(bits), F.shiftright("__low", 6) == F.col("__word"), "left")
-    hit = F.expr("(shiftrightunsigned(coalesce(__bits, 0L), cast(__low & 63 as int)) & 1) = 1")
-    return joined.withColumn(flag, hit).drop("__low", "__word", "__bits")
+    joined = df.withColumn(at, low).join(F.broadcast(bits), F.shiftright(at, 6) == F.col(word), "left")
+    hit = F.expr(f"(shiftrightunsigned(coalesce({bit}, 0L), cast({at} & 63 as int)) & 1) = 1")
+    return joined.withColumn(flag, hit).drop(at, word, bit)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id and text hash (xxhash64, null as empty) are a __gone_id and __gone_hash; columns unchanged.
+    """docs without the rows whose doc_id and text key (null as empty) are a gone_id and gone_key; columns unchanged.
 
-    Rows that the filter of the hashes rules out stay where they are; only the others are shuffled and joined.
+    Rows that the filter of the keys rules out stay where they are; only the others are shuffled and joined.
     """
-    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    marked = probably_in(marked, F.col("__hash"), gone, "__gone_hash", "__hit")
-    sure = marked.where("not __hit")
-    rest = marked.where("__hit")
-    rest = rest.join(gone, rest["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.col("__hash") == F.col("__gone_hash")), "left_anti")
-    return sure.unionByName(rest).drop("__hash", "__hit")
+    key, hit, short, g_id, g_key = (fresh(docs, x) for x in ("text_key", "text_hit", "short_key", "gone_id", "gone_key"))
+    gone = gone.select(F.col("gone_id").alias(g_id), F.col("gone_key").alias(g_key))
+    marked = docs.withColumn(key, text_key(text_of()))
+    marked = probably_in(marked, F.xxhash64(key), gone.select(F.xxhash64(g_key).alias(short)), short, hit)
+    sure = marked.where(~F.col(hit))
+    rest = marked.where(F.col(hit))
+    rest = rest.join(gone, rest["doc_id"].eqNullSafe(gone[g_id]) & (F.col(key) == F.col(g_key)), "left_anti")
+    return sure.unionByName(rest).drop(key, hit)
