@@ -2,8 +2,9 @@
 
 A Misra-Gries summary of the digests (Spark's mergeable frequent-items sketch, a fixed number of counters per task)
 proposes the digests that may be frequent. They are counted exactly, and the confirmed ones, at most HEAVY_MOST rows, are
-broadcast: rows of frequent texts are resolved where they are read and never shuffled. All other digests have few rows
-each and go through one ordinary shuffle.
+broadcast: rows of frequent texts are resolved where they are read and never shuffled. All other digests go through an
+ordinary shuffle: they are counted with partial sums, and those of several rows are joined back, so that no task holds all
+rows of a digest that the summary may have missed.
 
 Cases: a null text counts as empty; runs of blanks count as one space, nothing is trimmed; of rows with equal texts the
 smallest doc_id stays, null ids come last, and of repeated rows with that id one row stays; no rows give no rows; other
@@ -12,10 +13,10 @@ columns are ignored whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, has_repeated_ids, text_of, written
+from .common import BLANKS, one_of_each, text_key, text_of, written
 from .words import without
 
 #: Counters of each summary, and the most digests that it may propose.
@@ -27,8 +28,8 @@ def normalised(text):
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, row (tells repeated rows apart), text_hash, digest; written once as the text is read only here."""
-    return written(docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_of()).alias("text_hash"), F.unhex(F.sha2(normalised(text_of()), 256)).alias("digest")), "digests")
+    """doc_id, row (tells repeated rows apart), text_key, digest; written once as the text is read only here."""
+    return written(docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), text_key(text_of()).alias("text_key"), F.unhex(F.sha2(normalised(text_of()), 256)).alias("digest")), "digests")
 
 
 def heavy_hitters(rows: DataFrame, least: int) -> DataFrame:
@@ -42,7 +43,7 @@ def heavy_hitters(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _order():
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash")
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_key")
 
 
 def _summary():
@@ -50,12 +51,13 @@ def _summary():
 
 
 def resolved(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, row, text_hash, digest of each document, first (the row that stays) and group_size."""
+    """doc_id, row, text_key, digest of each document, first (the row that stays) and group_size."""
     rows = digests(docs)
     heavy = written(heavy_hitters(rows, least), "heavy")
-    key = Window.partitionBy("digest")
     there = rows.join(F.broadcast(heavy), "digest")
-    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select("digest", "doc_id", "row", "text_hash", F.min(_order()).over(key).alias("first"), F.count(F.lit(1)).over(key).alias("group_size"))
+    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    several = written(rest.groupBy("digest").agg(*_summary()).where("group_size > 1"), "several")  # a table, so that a hot digest's join can be split
+    rest = rest.join(several, "digest", "left").select("digest", "doc_id", "row", "text_key", F.coalesce("first", _order()).alias("first"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     return there.select(*rest.columns).unionByName(rest)
 
 
@@ -72,12 +74,9 @@ def exact_dedup(docs: DataFrame, least: int = 32) -> DataFrame:
 
 def deduplicated(docs: DataFrame, least: int = 32) -> DataFrame:
     """docs without the rows that exact_dedup drops; columns unchanged."""
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    gone = written(resolved(docs, least).where(~same).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")), "gone")
-    out = without(docs, gone)
-    if has_repeated_ids(docs):  # rows with the same id and text are alike: one of them stays
-        out = out.withColumn("__text", F.xxhash64(text_of())).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return out
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = written(resolved(docs, least).where(~same).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "gone")
+    return one_of_each(without(docs, gone))
 
 
 OP1_SQL = r"""
