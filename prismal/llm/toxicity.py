@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_of, worker, written
+from .common import text_key, text_of, worker, written
 
 #: Labelled rows of a class that are learnt from at most; of them, one in CALIBRATE is for the weights alone.
 SAMPLE, CALIBRATE = 4000, 3
@@ -213,18 +213,18 @@ def _recurrences(texts) -> dict[bytes, int]:
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, text_hash and score of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    """doc_id, text_key and score of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text_of()).alias("text_key"), text_of().alias("text"))
     if "weights" not in model:
-        return rows.select("doc_id", "text_hash", F.lit(float(model["share"])).alias("score"))
+        return rows.select("doc_id", "text_key", F.lit(float(model["share"])).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(model["toxic"], model["ordinary"])
         for batch in batches:
             x = np.array([distance.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_score(x, model))], names=["doc_id", "text_hash", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_score(x, model))], names=["doc_id", "text_key", "score"])
 
-    return rows.mapInArrow(worker(run), "doc_id long, text_hash long, score double")
+    return rows.mapInArrow(worker(run), "doc_id long, text_key binary, score double")
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -233,5 +233,5 @@ def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows that score least or more; columns unchanged."""
-    gone = scores(docs, fit(docs, labels)).where(F.col("score") >= least).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
+    gone = scores(docs, fit(docs, labels)).where(F.col("score") >= least).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
     return words.without(docs, written(gone, "gone"))
