@@ -2,12 +2,13 @@
 
 Words lose case and edge punctuation; numbers, names (words in capitals or with a capital first) and units after a number
 become typed placeholders whose words are kept aside as slots; an amount like 120km counts as two words. A window with names is also taken with the names as plain
-words, so that a passage in other case is found. Windows of five template tokens of the documents meet those
+words, so that a passage in other case is found. A window of placeholders alone stands in any list or heading: with names it is not
+taken, and of numbers and units alone it is taken word by word. Windows of five template tokens of the documents meet those
 of the benchmark items in a hash join on the window's hash; before it, a filter of fixed size drops in the workers nearly
 all windows that are in no item. Hits are counted by item and diagonal, and neighbouring diagonals are merged. In a list of
 names or numbers windows also hit their neighbours, so each window of the item keeps one place only: a literally equal one,
 or else that on the diagonal with most hits. An item counts as found if at least 0.8 of its windows stand there, and as many
-literally or the slots are consistent: one value of the document for each value of the item, so that a question with other
+literally or the slots are consistent (where half of its windows hold a plain word, 0.8 of those are enough): one value of the document for each value of the item, so that a question with other
 numbers or names is caught and a mere likeness of form is not.
 
 Cases: a null or empty text has no windows and is clean; an item of fewer than five words is found where all of it
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import text_of, worker, written
+from .common import text_key, text_of, worker, written
 
 K, LEAST, NEIGHBOUR, STRETCH, AGREE = 5, 0.8, 3, 1.5, 0.8
 #: An item table with at most so many windows is broadcast; a larger one is joined by shuffling.
@@ -47,7 +48,7 @@ NUM, NAME, UNIT = 1, 2, 3
 #: In the low bits of a word's code: what it may be besides a plain word. A unit is one only if a number stands before it.
 #: An amount is a number glued to a unit or another word.
 KIND, NAMED_UNIT, GLUED = 7, 4, 5
-WINDOWS = "doc_id long, text_hash long, at int, hash long, slots array<string>, length int"
+WINDOWS = "doc_id long, text_key binary, at int, hash long, slots array<string>, length int, bare boolean"
 
 
 def folded(bare: str) -> str:
@@ -93,6 +94,12 @@ def template(text: str, codes: words.Codes) -> tuple[np.ndarray, np.ndarray, np.
     return np.where((kind == NAME) | (kind == NAMED_UNIT), np.uint64(NAME), plain), plain, literal, own
 
 
+def _bare(tokens: np.ndarray) -> np.ndarray:
+    """Which windows hold placeholders only."""
+    plain = np.cumsum(np.r_[0, tokens > UNIT])
+    return plain[K:] == plain[: max(0, len(plain) - K)]
+
+
 def _windows(df: DataFrame, seen: np.ndarray | None, short: tuple[int, ...] = ()) -> DataFrame:
     """WINDOWS of each text; with a filter, only those that it lets pass.
 
@@ -100,7 +107,7 @@ def _windows(df: DataFrame, seen: np.ndarray | None, short: tuple[int, ...] = ()
     in short, of equal ones the first.
     """
     names = [x.split()[0] for x in WINDOWS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = words.Codes(_kind)
@@ -108,19 +115,19 @@ def _windows(df: DataFrame, seen: np.ndarray | None, short: tuple[int, ...] = ()
             cols: list[list] = [[] for _ in kinds]
             for i, h, text in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
                 named, plain, literal, own = template(text, codes)
-                hashes = words.grams(named, K)
-                other = words.grams(plain, K)
-                for tokens, own_hashes, here in ((named, hashes, None), (plain, other, hashes != other)):
-                    if seen is not None:
-                        here = words.passes(seen, own_hashes) if here is None else here & words.passes(seen, own_hashes)
-                    for at in range(len(own_hashes)) if here is None else np.flatnonzero(here):
-                        values = [f"{int(tokens[j])}:{folded(EDGE.sub('', own[j]))}" for j in range(at, at + K) if tokens[j] <= UNIT]
-                        for c, x in zip(cols, (i, h, int(at), int(own_hashes[at].view(np.int64)), values, K), strict=True):
+                hashes, formed, bare = words.grams(plain, K), words.grams(named, K), _bare(plain)
+                hashes[bare] = words.grams(literal, K)[bare]
+                new = (formed != words.grams(plain, K)) & ~_bare(named)
+                for tokens, own_hashes, here in ((plain, hashes, np.ones(len(hashes), bool)), (named, formed, new)):
+                    for at in np.flatnonzero(here if seen is None else here & words.passes(seen, own_hashes)):
+                        alone = bool(bare[at])
+                        values = [] if alone else [f"{int(tokens[j])}:{folded(EDGE.sub('', own[j]))}" for j in range(at, at + K) if tokens[j] <= UNIT]
+                        for c, x in zip(cols, (i, h, int(at), int(own_hashes[at].view(np.int64)), values, K, alone), strict=True):
                             c.append(x)
                 for k in short if seen is not None else (len(own),) if 0 < len(own) < K else ():
                     wholes, first = np.unique(words.grams(literal, k), return_index=True)
                     for j in range(len(wholes)) if seen is None else np.flatnonzero(words.passes(seen, wholes)):
-                        for c, x in zip(cols, (i, h, int(first[j]), int(wholes[j].view(np.int64)), [], k), strict=True):
+                        for c, x in zip(cols, (i, h, int(first[j]), int(wholes[j].view(np.int64)), [], k, False), strict=True):
                             c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -128,32 +135,33 @@ def _windows(df: DataFrame, seen: np.ndarray | None, short: tuple[int, ...] = ()
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return df.select(F.col(key).cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_hash, item_id, coverage, first, last (template tokens) of each item found in a text."""
-    items = written(_windows(_rows(benchmark, "item_id"), None).dropDuplicates(["doc_id", "text_hash", "at", "hash"]), "items").select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("at").alias("place"), "hash", F.col("slots").alias("item_slots"), "length")
+    """doc_id, text_key, item_id, coverage, first, last (template tokens) of each item found in a text."""
+    items = written(_windows(_rows(benchmark, "item_id"), None).dropDuplicates(["doc_id", "text_key", "at", "hash"]), "items").select(F.col("doc_id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("at").alias("place"), "hash", F.col("slots").alias("item_slots"), "length", F.col("bare").alias("item_bare"))
     n_windows = items.count()
-    sizes = items.groupBy(F.col("item_id").alias("s_id"), F.col("item_hash").alias("s_hash")).agg(F.count_distinct("place").alias("windows"))
-    items = items.join(sizes, F.col("item_id").eqNullSafe(F.col("s_id")) & (F.col("item_hash") == F.col("s_hash"))).drop("s_id", "s_hash")
+    sizes = items.groupBy(F.col("item_id").alias("s_id"), F.col("item_key").alias("s_key")).agg(F.count_distinct("place").alias("windows"), F.count_distinct(F.when(~F.col("item_bare"), F.col("place"))).alias("formed"))
+    items = items.join(sizes, F.col("item_id").eqNullSafe(F.col("s_id")) & (F.col("item_key") == F.col("s_key"))).drop("s_id", "s_key")
     seen = words.bitmap_array(items, "hash")
     short = tuple(r[0] for r in items.where(F.col("length") < K).select("length").distinct().collect())  # K - 1 of them at most
-    hits = _windows(_rows(docs, "doc_id"), seen, short).drop("length")
+    hits = _windows(_rows(docs, "doc_id"), seen, short).drop("length", "bare")
     joined = hits.join(F.broadcast(items) if n_windows <= BROADCAST_WINDOWS else items, "hash")
     pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
-    text = ["doc_id", "text_hash", "item_id", "item_hash", "windows", "length"]
-    hit = F.struct("place", F.col("item_slots").eqNullSafe(F.col("slots")).alias("literal"), pairs.alias("pairs"))
+    text = ["doc_id", "text_key", "item_id", "item_key", "windows", "formed", "length"]
+    hit = F.struct("place", "item_bare", F.col("item_slots").eqNullSafe(F.col("slots")).alias("literal"), pairs.alias("pairs"))
     votes = joined.groupBy(*text, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set(hit).alias("hits"), F.count_distinct("place").alias("votes"))
-    own = Window.partitionBy("doc_id", "text_hash", "item_id", "item_hash").orderBy("diagonal")
+    own = Window.partitionBy("doc_id", "text_key", "item_id", "item_key").orderBy("diagonal")
     opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > NEIGHBOUR).cast("int"), F.lit(0))
     runs = votes.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     # A place of the item stands once in a run: where the window is literally equal, or else on the diagonal with most votes.
     ways = runs.select(*text, "run", "votes", "diagonal", F.explode("hits").alias("hit"))
-    chosen = ways.groupBy(*text, "run", F.col("hit.place").alias("place")).agg(F.max(F.struct("hit.literal", "votes", "diagonal", "hit.pairs")).alias("way"))
+    chosen = ways.groupBy(*text, "run", F.col("hit.place").alias("place")).agg(F.max(F.struct("hit.literal", "votes", "diagonal", "hit.pairs", "hit.item_bare")).alias("way"))
     at = F.col("way.diagonal") + F.col("place")
     spans = chosen.groupBy(*text, "run").agg(
         F.least(F.count(F.lit(1)), F.count_distinct(at)).alias("hit"),
+        F.least(F.count_if(~F.col("way.item_bare")), F.count_distinct(F.when(~F.col("way.item_bare"), at))).alias("hit_formed"),
         F.least(F.count_if("way.literal"), F.count_distinct(F.when(F.col("way.literal"), at))).alias("literal"),
         F.array_distinct(F.flatten(F.collect_set("way.pairs"))).alias("pairs"),
         F.min(at).alias("first"),
@@ -162,25 +170,25 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
     consistent = (values >= AGREE * F.size("pairs")) | (F.col("literal") / F.col("windows") >= LEAST)
     near = (F.col("last") - F.col("first") + 1) <= STRETCH * (F.col("windows") + F.col("length") - 1)
-    share = F.col("hit") / F.col("windows")
-    return spans.where((share >= LEAST) & consistent & near).select("doc_id", "text_hash", "item_id", share.alias("coverage"), "first", "last")
+    share = F.greatest(F.col("hit") / F.col("windows"), F.when(2 * F.col("formed") >= F.col("windows"), F.col("hit_formed") / F.col("formed")))
+    return spans.where((share >= LEAST) & consistent & near).select("doc_id", "text_key", "item_id", share.alias("coverage"), "first", "last")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per contaminated text: c_id, c_hash, item_ids, coverage."""
+    """A row per contaminated text: c_id, c_key, item_ids, coverage."""
     found = matches(docs, benchmark)
-    return found.groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
+    return found.groupBy(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
 
 
 def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted, empty if clean), coverage (0 if clean) of every document."""
     found = contaminated(docs, benchmark)
-    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["c_id"]) & (F.col("text_hash") == F.col("c_hash")), "left")
-    return out.select("doc_id", F.col("c_hash").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    rows = docs.select("doc_id", text_key(text_of()).alias("text_key"))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["c_id"]) & (F.col("text_key") == F.col("c_key")), "left")
+    return out.select("doc_id", F.col("c_key").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; columns unchanged."""
-    gone = contaminated(docs, benchmark).select(F.col("c_id").alias("__gone_id"), F.col("c_hash").alias("__gone_hash"))
+    gone = contaminated(docs, benchmark).select(F.col("c_id").alias("gone_id"), F.col("c_key").alias("gone_key"))
     return words.without(docs, written(gone, "gone"))
