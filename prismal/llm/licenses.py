@@ -1,7 +1,7 @@
 r"""License phrases and texts by diagonal voting, in DataFrame functions only.
 
 All rolling K-word grams of every text meet the grams of the templates in a hash join; the templates are the fixed tables
-below, a few hundred grams, so that side is broadcast. A hit votes for the diagonal (place in the text less place in the
+below, a few hundred grams, so that side is broadcast, and grams whose hash no template has go before a row is made of each. A hit votes for the diagonal (place in the text less place in the
 template) of its template; the words of a hit are compared as well, not only their hash. Votes are counted by diagonal,
 neighbouring diagonals (a few words put in or left out) are merged, and a merged span counts if enough of the template's
 grams stand in it and it is not much longer than the template. A base phrase needs all its grams on one diagonal, which is
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_key, text_of
 
 K = 3
 #: Diagonals at most so far apart are merged; a span needs this share of its template's grams, in so many times its length.
@@ -59,37 +59,40 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def diagonals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, template, diagonal and the places of the template that voted for it."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+    """doc_id, text_key, template, diagonal and the places of the template that voted for it."""
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words"))
     w = F.col("words")
 
     def gram(i: Column) -> Column:
         own = [F.get(w, i + j) for j in range(K)]
         return F.struct(i.alias("at"), F.xxhash64(*own).alias("hash"), *[x.alias(f"w{j}") for j, x in enumerate(own)])
 
-    grams = F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), gram))
-    each = rows.select("doc_id", "text_hash", F.explode(grams).alias("g"))
-    t = F.broadcast(templates(docs.sparkSession))
+    t = templates(docs.sparkSession)
+    known = [r[0] for r in t.select("t_hash").distinct().collect()]  # of the fixed tables
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.when(F.xxhash64(*[F.get(w, i + j) for j in range(K)]).isin(known), i))
+    places = F.when(F.size(w) >= K, F.array_compact(hashes))
+    each = rows.select("doc_id", "text_key", F.explode(F.transform(places, gram)).alias("g"))
+    t = F.broadcast(t)
     same = F.col("g.hash") == F.col("t_hash")
     for j in range(K):
         same = same & (F.col(f"g.w{j}") == F.col(f"t{j}"))
-    hits = each.join(t, same).select("doc_id", "text_hash", "template", "label", "base", "grams", "length", (F.col("g.at") - F.col("place")).alias("diagonal"), "place")
-    return hits.groupBy("doc_id", "text_hash", "template", "label", "base", "grams", "length", "diagonal").agg(F.collect_set("place").alias("places"))
+    hits = each.join(t, same).select("doc_id", "text_key", "template", "label", "base", "grams", "length", (F.col("g.at") - F.col("place")).alias("diagonal"), "place")
+    return hits.groupBy("doc_id", "text_key", "template", "label", "base", "grams", "length", "diagonal").agg(F.collect_set("place").alias("places"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, label, base, start, end (words, end exclusive), coverage (share of the template's grams)."""
+    """doc_id, text_key, label, base, start, end (words, end exclusive), coverage (share of the template's grams)."""
     d = diagonals(docs)
-    base = d.where(F.col("base") & (F.size("places") == F.col("grams"))).select("doc_id", "text_hash", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("end"), F.lit(1.0).alias("coverage"))
-    own = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
+    base = d.where(F.col("base") & (F.size("places") == F.col("grams"))).select("doc_id", "text_key", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("end"), F.lit(1.0).alias("coverage"))
+    own = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
     opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > NEIGHBOUR).cast("int"), F.lit(0))
     runs = d.where(~F.col("base")).withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("doc_id", "text_hash", "template", "label", "base", "grams", "length", "run").agg(
+    merged = runs.groupBy("doc_id", "text_key", "template", "label", "base", "grams", "length", "run").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hit"),
         F.min(F.col("diagonal") + F.array_min("places")).alias("start"),
         (F.max(F.col("diagonal") + F.array_max("places")) + K).alias("end"),
     )
-    long = merged.select("doc_id", "text_hash", "label", "base", "start", "end", (F.col("hit") / F.col("grams")).alias("coverage"), ((F.col("end") - F.col("start")) <= STRETCH * F.col("length")).alias("tight"))
+    long = merged.select("doc_id", "text_key", "label", "base", "start", "end", (F.col("hit") / F.col("grams")).alias("coverage"), ((F.col("end") - F.col("start")) <= STRETCH * F.col("length")).alias("tight"))
     return base.unionByName(long.where("tight").drop("tight"))
 
 
@@ -97,16 +100,16 @@ def op10_licenses(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", text_of().alias("text"))
     is_base = F.col("base")
     sure = is_base | (F.col("coverage") >= LEAST)
-    found = spans(docs).groupBy("doc_id", "text_hash").agg(
+    found = spans(docs).groupBy("doc_id", "text_key").agg(
         F.sum(is_base.cast("long")).alias("n_base"),
         F.min(F.when(is_base, F.col("start"))).alias("first_word"),
         F.max(F.when(is_base, F.col("start"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(is_base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("label")))), ",").alias("labels"),
         F.max("coverage").alias("score"),
-    ).withColumnsRenamed({"doc_id": "f_id", "text_hash": "f_hash"})
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["f_id"]) & (F.col("text_hash") == F.col("f_hash")), "left")
+    ).withColumnsRenamed({"doc_id": "f_id", "text_key": "f_key"})
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["f_id"]) & (F.col("text_key") == F.col("f_key")), "left")
     return out.select(
         "doc_id",
         "n_words",
