@@ -3,10 +3,11 @@
 Equal texts form a group that must not be split; a group's size is the sum of its rows' sizes, added up before any shuffle.
 Groups are dealt by hash into parts of bounded size. In each part, k-way differencing starts from one partial partition for
 each group and repeatedly combines the two with the largest spread, one in opposite order to the other, until one partial
-partition of k sums is left. The parts' partial partitions, k numbers each and at most MOST_PARTS of them, are combined on the driver by the
-same rule. Going back over the combinations gives each group its shard.
+partition of k sums is left. The parts' partial partitions are dealt into parts of FAN and combined by the same rule, level
+by level, until FAN are left for the driver, k numbers each. Going back over the combinations gives each group its shard.
 
-Slots are numbered without a task for each shard: counts by bucket and shard give offsets, and a rank in a bucket the rest.
+Slots are numbered without a task for each shard: counts by bucket and shard give offsets, and a rank in a bucket the rest;
+there are as many buckets as a bucket has rows.
 
 Cases: a null text has no bytes and is equal to an empty one; null ids and repeated rows are rows like any other; no rows
 give no rows; other columns are ignored. A group larger than a k-th of all bytes fills its shard alone.
@@ -21,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, text_of, written
+from .common import buckets, rank_buckets, text_of, written
 
 SHARDS, OVERHEAD = 40, 16
-#: Groups of a part, the most parts; rows of a bucket when slots are numbered, the most buckets.
-PER_PART, MOST_PARTS, PER_BUCKET, MOST_BUCKETS = 20_000, 4096, 20_000, 4096
+#: Groups of a part; partial partitions that are combined together.
+PER_PART, FAN = 20_000, 2048
 
 
 def differencing(sums: np.ndarray) -> np.ndarray:
@@ -70,34 +71,54 @@ def part_places(sizes: np.ndarray, k: int) -> np.ndarray:
     return differencing(sums)[:, 0]
 
 
+def _combined(sums: DataFrame, parts: int, shards: int) -> DataFrame:
+    """part, place, up, up_place, bytes: where each sum of a part goes in the partial partition of up to FAN parts."""
+
+    def own(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["part", "place"], ignore_index=True)
+        part, of = np.unique(group["part"].to_numpy(), return_inverse=True)
+        place = group["place"].to_numpy()
+        made = np.zeros((len(part), shards), np.int64)
+        made[of, place] = group["bytes"].to_numpy()
+        return group.assign(up_place=differencing(made)[of, place])[["part", "place", "up", "up_place", "bytes"]]
+
+    dealt = sums.withColumn("up", F.pmod(F.xxhash64("part"), F.lit(buckets(parts, FAN))))
+    return written(dealt.groupBy("up").applyInPandas(own, "part long, place int, up long, up_place int, bytes long"), "combined")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row."""
     text = F.encode(text_of(), "UTF-8")
     rows = written(docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"), F.monotonically_increasing_id().alias("row")), "rows")
     groups = written(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
     n_groups, n_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = buckets(n_groups, PER_PART, MOST_PARTS)
+    parts = buckets(n_groups, PER_PART)
 
     def own(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["bytes", "digest"], ascending=False, ignore_index=True)
         return pd.DataFrame({"digest": group["digest"], "part": group["part"], "place": part_places(group["bytes"].to_numpy(), shards).astype(np.int32), "bytes": group["bytes"]})
 
-    dealt = groups.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int")).select("digest", "part", "bytes")
-    placed = written(dealt.groupBy("part").applyInPandas(own, "digest binary, part int, place int, bytes long"), "placed")
-    sums = np.zeros((parts, shards), np.int64)
-    for part, place, total in placed.groupBy("part", "place").agg(F.sum("bytes")).collect():  # at most MOST_PARTS * shards rows
-        sums[part, place] = total
-    to = differencing(sums)
-    spark = docs.sparkSession
-    where = spark.createDataFrame([(p, s, int(to[p, s])) for p in range(parts) for s in range(shards)], "part int, place int, shard int")
-    known = rows.join(placed.select("digest", "part", "place"), "digest").join(F.broadcast(where), ["part", "place"])
+    dealt = groups.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts))).select("digest", "part", "bytes")
+    placed = written(dealt.groupBy("part").applyInPandas(own, "digest binary, part long, place int, bytes long"), "placed")
+    sums, levels = placed.groupBy("part", "place").agg(F.sum("bytes").alias("bytes")), []
+    while parts > FAN:
+        levels.append(_combined(sums, parts, shards))
+        parts = buckets(parts, FAN)
+        sums = levels[-1].groupBy(F.col("up").alias("part"), F.col("up_place").alias("place")).agg(F.sum("bytes").alias("bytes"))
+    last = np.zeros((parts, shards), np.int64)
+    for part, place, total in sums.collect():  # at most FAN * shards rows
+        last[part, place] = total
+    to = differencing(last)
+    where = docs.sparkSession.createDataFrame([(p, s, int(to[p, s])) for p in range(parts) for s in range(shards)], "part long, place int, shard int")
+    for level in reversed(levels):
+        where = level.join(where.withColumnsRenamed({"part": "up", "place": "up_place"}), ["up", "up_place"]).select("part", "place", "shard")
+    known = rows.join(placed.select("digest", "part", "place").join(where, ["part", "place"]).select("digest", "shard"), "digest")
     known = written(known.select("doc_id", "size", "text_crc32", "row", "shard"), "sharded")
-    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets(n_rows, PER_BUCKET, MOST_BUCKETS))).cast("int")
-    known = known.withColumn("bucket", bucket)
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(rank_buckets(n_rows))))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = known.groupBy("bucket", "shard").count().select("bucket", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("row")) - 1
-    return known.withColumn("rank", rank).join(F.broadcast(offsets), ["bucket", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("rank") + F.col("base")).cast("long").alias("slot"))
+    return known.withColumn("rank", rank).join(offsets, ["bucket", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("rank") + F.col("base")).cast("long").alias("slot"))
 
 
 def op3_sharding(docs: DataFrame) -> DataFrame:
