@@ -7,7 +7,8 @@ each look-up short), and takes each such combination as often as the counts allo
 fit, longest first, into the smallest gap that holds it. The plan is a list of patterns and how often each is used.
 
 Pieces then find their seats without a driver: their rank among pieces of equal length (offsets by bucket, then a rank in
-it) falls into the interval of one seat of one pattern.
+it; there are as many buckets as a bucket has rows) falls into the interval of one seat of one pattern, found by halving.
+Each pattern uses up a length or a gap, so that their number follows the sequence length and not the data.
 
 Cases: a null text is empty, and an empty text is the end token alone; a document with a null id or a repeated row is packed
 like any other row; no rows give no rows; other columns are ignored.
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import buckets, text_of, worker, written
+from .common import rank_buckets, text_of, worker, written
 
 LENGTH, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rows of a bucket when ranks are given out, and the most buckets (their offsets by length are broadcast).
-PER_BUCKET, MOST_BUCKETS = 20_000, 256
+PACKED = f"{PIECES}, sequence_id long, offset long"
+_RANK_BITS = 48
 
 
 def cut(ids: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -164,19 +165,30 @@ def seats(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
+def _seated(ranked: DataFrame, found: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """PACKED from PIECES and rank: the seat whose interval of ranks holds a piece's."""
+    n, first, _, sequence, offset = np.array(sorted(found), np.int64).reshape(-1, 5).T
+    seat = (n << _RANK_BITS) | first
+    names = [x.split()[0] for x in PACKED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = batch.column(5).to_numpy()
+            at = np.searchsorted(seat, (batch.column(3).to_numpy() << _RANK_BITS) | rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], names)
+
+    return ranked.select(*names[:5], "rank").mapInArrow(worker(run), PACKED)
+
+
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """A row for each piece: PIECES, sequence_id and offset."""
-    spark = docs.sparkSession
     rows = written(pieces(docs, path or tokens.default_path(), length).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = np.zeros(length + 1, np.int64)
     for n, count in rows.groupBy("length").count().collect():  # as many rows as there are lengths
         histogram[n] = count
-    n_buckets = buckets(int(histogram.sum()), PER_BUCKET, MOST_BUCKETS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(n_buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(rank_buckets(int(histogram.sum())))))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("bucket", "length").count().select("bucket", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("row")) - 1
-    ranked = rows.withColumn("rank", rank).join(F.broadcast(offsets), ["bucket", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
-    seat = spark.createDataFrame(seats(plan(histogram, length)), "s_length long, first long, last long, sequence long, offset long")
-    inside = (F.col("length") == F.col("s_length")) & F.col("rank").between(F.col("first"), F.col("last"))
-    return ranked.join(F.broadcast(seat), inside).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    ranked = rows.withColumn("rank", rank).join(offsets, ["bucket", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    return _seated(ranked, seats(plan(histogram, length)))
