@@ -8,8 +8,10 @@ hash into partitions of bounded size; there, names of the nodes at word depth 1,
 built level by level from the pairs of names below, and the nodes at depth LENGTH with suffixes of several texts are its deep
 internal nodes. Each keeps the least document id; a suffix under it of a later document is a window to remove.
 
-A gram that stands in more texts than HEAVY would not fit: there the prefix is the whole window. Its suffixes go as hashes
-of 128 bits, the least id of each is found with partial sums, and it is joined back, which Spark can split by rows.
+The prefix is of variable length: where a gram stands in more than HEAVY texts, so that its group would not fit, its windows are
+grouped anew by the least of their longer grams, from GRAMS[0] words to GRAMS[-1]. What is in too many texts even then is grouped
+by the whole window. Those suffixes go as hashes of 128 bits, the least id of each is found with partial sums, and it is
+joined back, which Spark can split by rows.
 
 Copies of a whole text are one text with its least id; in the other copies each window stands in an earlier document.
 
@@ -22,19 +24,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
 from .common import buckets, text_of, worker, written
 
-LENGTH, GRAM = 50, 8
-#: Texts of a gram from which on its windows go one by one (their runs, of some 450 bytes, still fit a task); suffix runs of a partition.
+LENGTH, GRAMS = 50, (8, 16, 32)
+#: Texts of a gram from which on its prefix is lengthened (their runs, of some 450 bytes, still fit a task); suffix runs of a partition.
 HEAVY, PER_PART = 32_768, 8192
 LAST = (1 << 63) - 1
 _LOW = np.uint64((1 << 24) - 1)
@@ -42,7 +45,7 @@ _LOW = np.uint64((1 << 24) - 1)
 BLOCK = 1 << 22
 
 
-def anchors(codes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def anchors(codes: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray]:
     """The anchor's place for each window of the codes, and the gram hashes."""
     grams = words.grams(codes, gram)
     n, span = len(codes) - length + 1, length - gram + 1
@@ -64,77 +67,92 @@ def _order():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
-def _key():
+def _keys() -> list[Column]:
+    """k1, k2: 128 bits of a text, as numbers."""
     text = text_of()
-    return F.xxhash64(text, F.length(text))
+    return [F.xxhash64(text, F.length(text)).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """gram, text, place of the anchors of each text."""
+KEYS = ["k1", "k2"]
+
+
+def pending(codes: np.ndarray, trail: list[list[int]], length: int, grams: tuple[int, ...]) -> np.ndarray:
+    """Which windows of the codes had an anchor in the trail, the heavy places of each level so far, at all of these levels."""
+    out = np.ones(max(0, len(codes) - length + 1), bool)
+    for gram, heavy in zip(grams, trail, strict=False):
+        out &= np.isin(anchors(codes, length, gram)[0], heavy)
+    return out
+
+
+def _anchor_rows(texts: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
+    """gram, k1, k2, place of the anchors, at the last of the grams, of the windows of each text (k1, k2, text, trail) that are pending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, done = words.Codes(), set()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key in done:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for k1, k2, text, trail in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+                if (k1, k2) in done:
                     continue
                 if len(done) < 200_000:
-                    done.add(key)
+                    done.add((k1, k2))
                 own = words.split(text)
                 if len(own) < length:
                     continue
-                place, grams = anchors(codes.of(own), length, gram)
-                place = np.unique(place)
-                for to, x in zip(out, (words.signed(grams[place]), np.full(len(place), key, np.int64), place), strict=True):
+                found = codes.of(own)
+                place, hashes = anchors(found, length, grams[-1])
+                place = np.unique(place[pending(found, trail, length, grams)])
+                for to, x in zip(out, (words.signed(hashes[place]), np.full(len(place), k1, np.int64), np.full(len(place), k2, np.int64), place), strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["gram", "text_key", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["gram", *KEYS, "place"])
 
-    return docs.select(_key().alias("text_key"), text_of().alias("text")).mapInArrow(worker(run), "gram long, text_key long, place long")
+    return texts.select(*KEYS, "text", "trail").mapInArrow(worker(run), "gram long, k1 long, k2 long, place long")
 
 
-RUNS = "gram long, text_key long, first long, at long, n int, codes binary, h1 long, h2 long"
+RUNS = "gram long, k1 long, k2 long, first long, at long, n int, codes binary, h1 long, h2 long"
 
 
-def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Runs of window starts with the same shared anchor and the 48-bit codes of their words; or, for heavy grams, windows by hash."""
+def _runs(texts: DataFrame, length: int, grams: tuple[int, ...], last: bool) -> DataFrame:
+    """Runs of window starts with the same shared anchor and the 48-bit codes of their words; at the last level, windows by hash for heavy grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = words.Codes()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        names = [x.split()[0] for x in RUNS.split(", ")]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
             size = 0
-            for key, first, text, shared in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+            for k1, k2, first, text, trail, shared in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
                 found = codes.of(words.split(text))
-                place, grams = anchors(found, length, gram)
+                place, hashes = anchors(found, length, grams[-1])
                 heavy = {x["place"]: x["heavy"] for x in shared}
-                starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-                ends = np.r_[starts[1:], len(place)]
+                here = np.where(pending(found, trail, length, grams), place, -1)
+                starts = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+                ends = np.r_[starts[1:], len(here)]
                 narrow = np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8)[:, :6]
                 for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                    p = int(place[a])
+                    p = int(here[a])
                     if p not in heavy:
                         continue
-                    g = int(grams[p].view(np.int64))
+                    g = int(hashes[p].view(np.int64))
+                    rows = []
                     if not heavy[p]:
-                        rows = [(g, key, first, a, b - a, narrow[a : b + length - 1].tobytes(), None, None)]
-                    else:
+                        rows = [(g, k1, k2, first, a, b - a, narrow[a : b + length - 1].tobytes(), None, None)]
+                    elif last:
                         raw = found[a : b + length - 1].tobytes()
-                        rows = []
                         for i in range(a, b):
                             d = xxhash.xxh3_128_intdigest(raw[8 * (i - a) : 8 * (i - a + length)])
-                            rows.append((g, key, first, i, 1, None, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)))
+                            rows.append((g, k1, k2, first, i, 1, None, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)))
                     for row in rows:
                         for c, x in zip(cols, row, strict=True):
                             c.append(x)
                     size += len(rows)
                 if size > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RUNS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
                     cols, size = [[] for _ in kinds], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RUNS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(worker(run), RUNS)
+    return texts.select(*KEYS, "first", "text", "trail", "shared").mapInArrow(worker(run), RUNS)
 
 
 def tree_nodes(codes: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -159,7 +177,7 @@ def tree_nodes(codes: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
 
 
 def _removed(runs: DataFrame, length: int, parts: int) -> DataFrame:
-    """text_key, at, n: runs of windows that stand in a document with a smaller id."""
+    """k1, k2, at, n: runs of windows that stand in a document with a smaller id."""
 
     def own(group: pd.DataFrame) -> pd.DataFrame:
         raw = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in group["codes"]]
@@ -177,32 +195,48 @@ def _removed(runs: DataFrame, length: int, parts: int) -> DataFrame:
         np.minimum.at(least, at, first)
         hit = np.flatnonzero(least[at] < first)
         if not len(hit):
-            return pd.DataFrame({"text_key": np.zeros(0, np.int64), "at": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+            return pd.DataFrame({x: np.zeros(0, np.int64) for x in (*KEYS, "at", "n")})
         cut = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)])
         start, count = hit[cut], np.diff(np.r_[cut, len(hit)])
-        return pd.DataFrame({"text_key": group["text_key"].to_numpy()[row[start]], "at": group["at"].to_numpy()[row[start]] + offset[start], "n": count})
+        return pd.DataFrame({**{x: group[x].to_numpy()[row[start]] for x in KEYS}, "at": group["at"].to_numpy()[row[start]] + offset[start], "n": count})
 
-    dealt = runs.where("codes is not null").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int"))
-    light = dealt.groupBy("part").applyInPandas(own, "text_key long, at long, n long")
-    single = runs.where("codes is null").select("h1", "h2", "text_key", "first", "at")
-    least = single.groupBy("h1", "h2").agg(F.min("first").alias("least"))
-    heavy = single.join(least, ["h1", "h2"]).where("least < first").select("text_key", "at", F.lit(1).cast("long").alias("n"))
+    dealt = runs.where("codes is not null").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)))
+    light = dealt.groupBy("part").applyInPandas(own, "k1 long, k2 long, at long, n long")
+    single = runs.where("codes is null").select("h1", "h2", *KEYS, "first", "at")
+    least = written(single.groupBy("h1", "h2").agg(F.min("first").alias("least")), "least")  # a table, so that a hot window's join can be split
+    heavy = single.join(least, ["h1", "h2"]).where("least < first").select(*KEYS, "at", F.lit(1).cast("long").alias("n"))
     return light.unionByName(heavy)
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Texts (text_key, first: the least id, copies) that matter, and text_key, at, n of the windows to remove in their first document."""
-    texts = written(docs.select(_key().alias("text_key"), _order().alias("id")).groupBy("text_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "texts")
-    rows = written(_anchor_rows(docs, length, gram), "anchors")
-    shared = rows.groupBy("gram").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("gram", (F.col("n") > HEAVY).alias("heavy"))
-    places = rows.join(shared, "gram").groupBy("text_key").agg(F.collect_set(F.struct("place", "heavy")).alias("shared"))
-    wanted = written(places.join(texts, "text_key").select("text_key", "first", "shared"), "wanted")
-    own = docs.select(_order().alias("id"), _key().alias("key"), text_of().alias("text"))
-    own = words.probably_in(own, F.col("key"), wanted, "text_key", "__hit").where("__hit").drop("__hit")
-    one = own.join(wanted, (F.col("key") == F.col("text_key")) & (F.col("id") == F.col("first"))).select("text_key", "first", "text", "shared")
-    runs = written(_runs(one, length, gram), "runs")
-    parts = buckets(runs.where("codes is not null").count(), PER_PART)
-    return texts, written(_removed(runs, length, parts), "removed")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted (k1, k2, first and others) with their text, from the document that has it first."""
+    own = docs.select(_order().alias("first"), *_keys(), text_of().alias("text"))
+    own = words.probably_in(own, F.col("k1"), wanted, "k1", "hit").where("hit").drop("hit")
+    return own.join(wanted, [*KEYS, "first"])
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Texts (k1, k2, first: the least id, copies) that matter, and k1, k2, at, n of the windows to remove in their first document."""
+    texts = written(docs.select(*_keys(), _order().alias("id")).groupBy(*KEYS).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "texts")
+    none = F.expr("cast(array() as array<array<long>>)")
+    now, removed = docs.select(*_keys(), text_of().alias("text"), none.alias("trail")), []
+    pend = texts.select(*KEYS, "first", none.alias("trail"))
+    for level in range(1, len(grams) + 1):
+        rows = written(_anchor_rows(now, length, grams[:level]), "anchors")
+        shared = rows.groupBy("gram").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("gram", (F.col("n") > HEAVY).alias("heavy"))
+        shared = written(shared, "shared")  # a table, so that a hot gram's join can be split
+        places = rows.join(shared, "gram").groupBy(*KEYS).agg(F.collect_set(F.struct("place", "heavy")).alias("shared"))
+        wanted = written(places.join(pend, KEYS), "wanted")
+        last = level == len(grams)
+        runs = written(_runs(_texts(docs, wanted), length, grams[:level], last), "runs")
+        parts = buckets(runs.where("codes is not null").count(), PER_PART)
+        removed.append(written(_removed(runs, length, parts), "removed"))
+        heavy = F.transform(F.filter("shared", lambda x: x["heavy"]), lambda x: x["place"])
+        pend = wanted.where(F.size(heavy) > 0).select(*KEYS, "first", F.concat("trail", F.array(heavy)).alias("trail"))
+        if last or pend.isEmpty():
+            return texts, reduce(DataFrame.unionByName, removed)
+        now = _texts(docs, pend)
+    raise AssertionError
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -235,13 +269,14 @@ def _kept(df: DataFrame, length: int) -> DataFrame:
     return df.mapInArrow(worker(run), OUT)
 
 
-def op6_substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    texts, removed = repeated_windows(docs, length, gram)
-    gone = removed.groupBy("text_key").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
-    touched = texts.join(gone, "text_key", "left").where((F.col("copies") > 1) | F.col("gone").isNotNull())
-    touched = written(touched.select("text_key", F.col("first").alias("least"), "gone"), "touched")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), _order().alias("id"), _key().alias("key"))
-    rows = words.probably_in(rows, F.col("key"), touched, "text_key", "__hit")
-    hit = rows.where("__hit").join(touched, F.col("key") == F.col("text_key"), "left").select("doc_id", "text", (F.col("least").isNull() | (F.col("id") == F.col("least"))).alias("first"), "gone")
-    miss = rows.where("not __hit").select("doc_id", "text", F.lit(True).alias("first"), F.lit(None).cast(touched.schema["gone"].dataType).alias("gone"))
+def op6_substring_dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS) -> DataFrame:
+    texts, removed = repeated_windows(docs, length, grams)
+    gone = removed.groupBy(*KEYS).agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+    touched = texts.join(gone, KEYS, "left").where((F.col("copies") > 1) | F.col("gone").isNotNull())
+    touched = written(touched.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("first").alias("least"), "gone"), "touched")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), _order().alias("id"), *_keys())
+    rows = words.probably_in(rows, F.col("k1"), touched, "t1", "hit")
+    same = (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))
+    hit = rows.where("hit").join(touched, same, "left").select("doc_id", "text", (F.col("least").isNull() | (F.col("id") == F.col("least"))).alias("first"), "gone")
+    miss = rows.where("not hit").select("doc_id", "text", F.lit(True).alias("first"), F.lit(None).cast(touched.schema["gone"].dataType).alias("gone"))
     return _kept(hit, length).unionByName(_kept(miss, length))
