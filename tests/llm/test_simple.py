@@ -157,7 +157,10 @@ def test_differencing_is_balanced():
     assert set(sharding.part_places(np.array([5]), 3)) <= {0, 1, 2}
 
 
-def test_sharding(spark):
+@pytest.mark.parametrize("per_part,fan", [(20_000, 2048), (12, 3)])
+def test_sharding(spark, monkeypatch, per_part, fan):
+    monkeypatch.setattr(sharding, "PER_PART", per_part)
+    monkeypatch.setattr(sharding, "FAN", fan)
     rows = [*odd.ROWS, *((100 + i, f"text {i % 90} " * (i % 40)) for i in range(500))]
     got = sharding.op3_sharding(odd.docs(spark, rows)).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
@@ -167,6 +170,14 @@ def test_sharding(spark):
         slots.setdefault(r["shard"], []).append(r["slot"])
         sums[r["shard"]] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = Counter()
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 16
+    greedy = [0] * 40  # largest first, each to the lightest shard
+    for n in sorted(groups.values(), reverse=True):
+        greedy[greedy.index(min(greedy))] += n
+    ours, theirs = sorted(sums[i] for i in range(40))[:36], sorted(greedy)[:36]  # four groups are large enough to fill a shard alone
+    assert sum(sums.values()) == sum(groups.values()) and ours[-1] - ours[0] <= max(theirs[-1] - theirs[0], sorted(groups.values())[-5])
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
     assert sharding.op3_sharding(odd.empty(spark)).count() == 0
 
