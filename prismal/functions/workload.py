@@ -154,6 +154,8 @@ def parse(statement: str) -> dict | None:
         return None
     project: list[str] = []
     for item in _split(clauses["select"], ","):
+        if "href=http" in "".join(item).lower():  # a link made in the select list
+            continue
         if item == ["*"] or item[-2:] == [".", "*"]:
             project = ["*"]
             break
@@ -276,18 +278,23 @@ def parameterised(conditions: list[str]) -> str | None:
 
 
 def grouped(queries: DataFrame, threshold: float = THRESHOLD, jaccard: float = JACCARD, modifiers: tuple[str, ...] = ()) -> DataFrame:
-    """group_id (by falling frequency), pattern, modifiers, project, filter, n, frequency, total, per_second of the frequent groups."""
+    """group_id (by falling frequency), pattern, modifiers, project, filter, n, frequency, total, per_second of the frequent groups.
+
+    A task merges the distinct shapes of one set of tables, which are as many as there are ways to ask them and not statements;
+    merging takes time by their square. Groups are 1 / threshold at most, and with a threshold of 0 as many as shapes.
+    """
     columns = {"distinct": "has_distinct", "groupby": "has_group_by", "orderby": "has_order_by", "top": "top_value"}
     unknown = set(modifiers) - set(columns)
     if unknown:
         raise ValueError(f"no such modifiers: {sorted(unknown)}")
-    total = queries.count()
-    least = total * threshold
     key = F.array_sort(F.array_distinct(F.transform("pattern", lambda t: F.lower(F.split(t, " ")[0]))))
     kind = F.to_json(F.struct(*[F.col(columns[m]) for m in modifiers])) if modifiers else F.lit("{}")
     q = queries.select(key.alias("pattern"), kind.alias("modifiers"), F.array_sort("all_attributes").alias("columns"), "filters")
-    often = q.groupBy("pattern", "modifiers").agg(F.count(F.lit(1)).alias("group_n")).where(F.col("group_n") > least)
-    shapes = q.groupBy("pattern", "modifiers", "columns", "filters").agg(F.count(F.lit(1)).alias("n")).join(often, ["pattern", "modifiers"], "left_semi")
+    every = q.groupBy("pattern", "modifiers", "columns", "filters").agg(F.count(F.lit(1)).alias("n")).persist()  # a row for each shape: statements are taken apart once
+    total = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = total * threshold
+    often = every.groupBy("pattern", "modifiers").agg(F.sum("n").alias("group_n")).where(F.col("group_n") > least)
+    shapes = every.join(often, ["pattern", "modifiers"], "left_semi")
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         by: dict[tuple[str, ...], tuple[set[str], int]] = {}
@@ -299,17 +306,34 @@ def grouped(queries: DataFrame, threshold: float = THRESHOLD, jaccard: float = J
         return pd.DataFrame([(list(first["pattern"]), first["modifiers"], p, parameterised(f), n) for p, f, n in found], columns=[x.split()[0] for x in GROUP.split(", ")])
 
     groups = shapes.withColumn("key", F.concat_ws(",", "pattern")).groupBy("key", "modifiers").applyInPandas(merge, GROUP)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "pattern", "modifiers", "project"))  # only frequent groups, 1 / threshold at most
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "pattern", "modifiers", "project"))  # only groups, of which there are few
     return groups.select(
         rank.alias("group_id"), "pattern", "modifiers", "project", "filter", "n", (F.col("n") / F.lit(max(1, total))).alias("frequency"),
         F.lit(total).cast("long").alias("total"), F.lit(total / (DAYS * 24 * 3600)).alias("per_second"),
     )
 
 
+def conditions(text: str) -> list[str]:
+    """The parts of a filter that AND joins, outside of strings, brackets and BETWEEN; all of it if OR joins them."""
+    out, depth, between = [[]], 0, False
+    for t in re.findall(r"'[^']*'|[()]|[^\s()']+", text):
+        depth += (t == "(") - (t == ")")
+        low = t.lower()
+        if depth == 0 and low == "or":
+            return [text]
+        if depth == 0 and low == "and" and not between:
+            out.append([])
+            continue
+        between = depth == 0 and (low == "between" or between and low != "and")
+        out[-1].append(t)
+    return [" ".join(x) for x in out if x]
+
+
 def canonical(domain: Domain, pattern: list[str], project: list[str], filter_text: str | None, classes: dict[str, str] | None = None) -> QuerySpec:
     """A group as a query over a domain: tables become classes, associations between them are added, superclasses of others go.
 
     classes: class by logged table name, where it is not the name itself; columns of a table go to the class of its line that has them.
+    What names no attribute or end is left out, of the projection and of the filter's conditions; $n keep their numbers.
     """
     by_low = {c.lower(): c for c in domain.classes}
     found = [(classes or {}).get(t, by_low.get(t.lower())) for t in pattern]
@@ -328,8 +352,12 @@ def canonical(domain: Domain, pattern: list[str], project: list[str], filter_tex
         return low.get(column.lower()) or rename.get(column.lower())
 
     columns = ["*"] if "*" in project else list(dict.fromkeys(n for c in project if (n := name(c))))
-    if filter_text:
-        filter_text = re.sub(r"'[^']*'|[A-Za-z_]\w*", lambda m: m[0] if m[0][0] == "'" else name(m[0]) or m[0], filter_text)
+    kept_conditions = []
+    for text in conditions(filter_text or ""):
+        words = [w for w in re.findall(r"'[^']*'|[A-Za-z_]\w*", text) if w[0] != "'" and w.lower() not in _WORDS]
+        if all(map(name, words)):
+            kept_conditions.append(re.sub(r"'[^']*'|[A-Za-z_]\w*", lambda m: m[0] if m[0][0] == "'" else name(m[0]) or m[0], text))
+    filter_text = " AND ".join(kept_conditions) or None
     return QuerySpec(tuple(columns), tuple([*kept, *links]), filter_text)
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.paths import Path, TableMap, sets_of, table_map
 from .catalog import Catalog
@@ -43,21 +44,20 @@ def key_violations(catalog: Catalog, table: str, key: list[str] | None = None) -
 
 
 def foreign_keys(catalog: Catalog) -> list[tuple[str, str, str, str]]:
-    """table, column, referenced table, referenced column of each identity that another table is anchored on."""
+    """table, column (a path with dots, into sets as well), referenced table, referenced column of each identity that another table is anchored on."""
     d, design = catalog.design.domain, catalog.design
     maps = [table_map(design, t) for t in design.tables()]
     home: dict[str, tuple[str, str]] = {}
     for m in maps:
         for s in m.structs():
-            if len(s.anchor) == 1 and s.anchor[0] in d.classes:
+            if len(s.anchor) == 1 and s.anchor[0] in d.classes and len(m.class_path(s.anchor[0]) or ()) == 1:
                 home.setdefault(s.anchor[0], (m.name, d.identifier(s.anchor[0])))
     out: dict[tuple[str, str, str, str], None] = {}
     for m in maps:
-        held = [(e, d.end(e).cls, p) for e, p in m.loose.items()]
-        held += [(d.identifier(c), c, p) for c, p in m.classes.items()]
-        for column, cls, path in held:
-            if sets_of(path) or len(path) > 1:
-                continue
+        held = [(d.end(e).cls, p) for e, p in m.loose.items()]
+        held += list(m.classes.items())
+        for cls, path in held:
+            column = ".".join(h.name for h in path)
             for c in d.line(cls):
                 if c in home and home[c][0] != m.name:
                     out[m.name, column, *home[c]] = None
@@ -65,9 +65,19 @@ def foreign_keys(catalog: Catalog) -> list[tuple[str, str, str, str]]:
     return list(out)
 
 
+def _values(df: DataFrame, column: str) -> DataFrame:
+    """The values at a path, a row for each element of the sets on the way."""
+    df = df.select(F.struct("*").alias("value"))
+    for name in column.split("."):
+        df = df.select(F.col("value").getField(name).alias("value"))
+        if isinstance(df.schema["value"].dataType, T.ArrayType):
+            df = df.select(F.explode("value").alias("value"))
+    return df
+
+
 def reference_violations(catalog: Catalog, table: str, column: str, parent: str, parent_column: str) -> DataFrame:
     """Distinct values of a column that are not in the referenced one."""
-    values = catalog.table(table).select(F.col(column).alias("value")).where("value is not null").distinct()
+    values = _values(catalog.table(table), column).where("value is not null").distinct()
     keys = catalog.table(parent).select(F.col(parent_column).alias("key"))
     return values.join(keys, F.col("value") == F.col("key"), "left_anti").select(F.lit(table).alias("table"), F.lit(column).alias("column"), F.col("value").cast("string").alias("value"))
 

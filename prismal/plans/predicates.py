@@ -44,6 +44,11 @@ def unbound(text: str) -> str:
     return _PART.sub(lambda m: "NULL" if m[1] else m[0], text)
 
 
+def mentions(text: str, name: str) -> bool:
+    """Whether a predicate names an attribute as a whole word, outside of strings."""
+    return name in re.findall(r"[A-Za-z_]\w*", _PART.sub(" ", text))
+
+
 def attributes(spark: SparkSession, text: str) -> list[str]:
     """Names that a predicate refers to, in order of appearance."""
     try:

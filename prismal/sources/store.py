@@ -1,8 +1,14 @@
-"""Catalogs on disk: a JSON description and a Parquet table for each set."""
+"""Catalogs on disk: a JSON description and a Parquet table for each set.
+
+The tables of a save are in a folder of its own, which the description names. The description is put in place by one
+rename, after all tables are written: a save that fails leaves the catalog that was there as it was, and one that supersedes
+it drops the old tables at last.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,16 +29,39 @@ def save(catalog: Catalog, location: str, supersede: bool = False) -> Catalog:
     spark = catalog.spark
     if exists(spark, location) and not supersede:
         raise ModelError(f"there is a catalog at {location}")
+    data = f"data-{uuid.uuid4().hex}"
     for name in catalog.design.tables():
-        catalog.table(name).write.mode("overwrite").parquet(f"{location}/{name}")
-    about = {"domain": specs.domain_json(catalog.design.domain), "design": specs.design_json(catalog.design), "has_data": catalog.has_data, "tables_created": True}
-    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{location}/{DESCRIPTION}")
+        catalog.table(name).write.parquet(f"{location}/{data}/{name}")
+    about = {"domain": specs.domain_json(catalog.design.domain), "design": specs.design_json(catalog.design), "has_data": catalog.has_data, "tables_created": True, "data": data}
+    _put(spark, f"{location}/{DESCRIPTION}", json.dumps(about))
+    system, root = _path(spark, location)
+    for old in system.listStatus(root):
+        if old.getPath().getName().startswith("data-") and old.getPath().getName() != data:
+            system.delete(old.getPath(), True)
     return load(spark, location)
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def _put(spark: SparkSession, name: str, text: str) -> None:
+    """Writes a file beside, and renames it to its place, over what is there."""
+    system, path = _path(spark, name)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{name}.{uuid.uuid4().hex}")
+    out = system.create(beside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    over[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(system.getUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(system.makeQualified(beside), system.makeQualified(path), over)
+
+
 def exists(spark: SparkSession, location: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{DESCRIPTION}")
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    system, path = _path(spark, f"{location}/{DESCRIPTION}")
+    return system.exists(path)
 
 
 def load(spark: SparkSession, location: str, paradigm: str | None = None) -> Catalog:
@@ -43,10 +72,12 @@ def load(spark: SparkSession, location: str, paradigm: str | None = None) -> Cat
     if paradigm and design.paradigm != paradigm:
         raise ModelError(f"the catalog is {design.paradigm}, not {paradigm}")
 
+    data = f"{location}/{about['data']}"
+
     def reader(name: str):
-        return lambda: spark.read.schema(table_map(design, name).schema).option("recursiveFileLookup", True).parquet(f"{location}/{name}")
+        return lambda: spark.read.schema(table_map(design, name).schema).option("recursiveFileLookup", True).parquet(f"{data}/{name}")
 
-    return Catalog(spark, design, {name: reader(name) for name in design.tables()} if about["has_data"] else {}, location)
+    return Catalog(spark, design, {name: reader(name) for name in design.tables()} if about["has_data"] else {}, data)
 
 
 def register(catalog: Catalog, database: str, buckets: int | None = None) -> None:

@@ -21,7 +21,7 @@ CLASSES = {
     "Supplier": "s_suppkey:l s_name:s s_acctbal:d",
     "Part": "p_partkey:l p_name:s p_brand:s p_type:s p_size:i p_retailprice:d",
     "Order": "o_orderkey:l o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
-    "LineItem": "l_id:l l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s l_shipdate:t",
+    "LineItem": "l_id:s l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s l_shipdate:t",
     "Event": "event_id:l ts:t event_type:s value:d",
     "Document": "doc_id:l lang:s source:s n_chars:l",
     "Label": "label_doc:l quality:i toxic:i",
@@ -41,6 +41,7 @@ ASSOCIATIONS = {
 SUBCLASSES = {
     "OrderStatus": ("Order", "o_orderstatus", {"FinishedOrder": "F", "OpenOrder": "O", "PendingOrder": "P"}),
     "EventKind": ("Event", "event_type", {"ClickEvent": "click", "ErrorEvent": "error", "PurchaseEvent": "purchase", "SignupEvent": "signup", "ViewEvent": "view"}),
+    "FinishedUrgency": ("FinishedOrder", "o_orderpriority", {"UrgentOrder": "1-URGENT", "HighOrder": "2-HIGH", "MediumOrder": "3-MEDIUM", "UnspecifiedOrder": "4-NOT SPECIFIED", "LowOrder": "5-LOW"}),
     "LineFlag": ("LineItem", "l_returnflag", {"AcceptedLine": "A", "NewLine": "N", "ReturnedLine": "R"}),
 }
 #: Overlapping and complete: parts are small, large, or both around the middle.
@@ -103,11 +104,30 @@ def design(name: str) -> Design:
             out.add_struct(f"{sub}_type", [sub], [*_own("Order"), "OrderCust"])
             out.add_set(f"{sub}_table", f"{sub}_type")
         return _rest(out, "Order")
-    if name == "per_size":
-        for sub in PART_SIZES:
-            out.add_struct(f"{sub}_type", [sub], _own("Part"))
+    if name == "per_urgency":  # two levels: open and pending orders by status, finished ones by priority
+        for sub in [*SUBCLASSES["FinishedUrgency"][2], "OpenOrder", "PendingOrder"]:
+            out.add_struct(f"{sub}_type", [sub], [*_own("Order"), "OrderCust"])
+            out.add_set(f"{sub}_table", f"{sub}_type")
+        return _rest(out, "Order")
+    if name in ("per_size", "per_status_size"):
+        kinds = {s: "Part" for s in PART_SIZES} | ({s: "Order" for s in SUBCLASSES["OrderStatus"][2]} if name == "per_status_size" else {})
+        for sub, top in kinds.items():
+            out.add_struct(f"{sub}_type", [sub], [*_own(top), *_links(top)])
             out.add_set(f"{sub}_table", f"{sub}_type")
-        return _rest(out, "Part")
+        return _rest(out, *kinds.values())
+    if name == "link_tables":
+        for cls, link in (("Order", "OrderCust"), ("LineItem", "LineOrder")):
+            out.add_struct(f"{TABLES[cls]}_type", [cls], [*_own(cls), *[a for a in _links(cls) if a != link]])
+            out.add_set(TABLES[cls], f"{TABLES[cls]}_type")
+            out.add_struct(f"{link}_type", [link])
+            out.add_set(f"{link}_table", f"{link}_type")
+        return _rest(out, "Order", "LineItem")
+    if name == "two_keys":
+        out.add_struct("orders_a_type", ["Order"], ["o_orderkey", "o_orderstatus", "o_totalprice", "OrderCust"])
+        out.add_set("orders_a", "orders_a_type")
+        out.add_struct("orders_b_type", ["Order"], ["o_orderkey", "o_orderdate", "o_orderpriority", "OrderCust"])
+        out.add_set("orders_b", "orders_b_type")
+        return _rest(out, "Order")
     if name == "denorm_line":
         out.add_struct("lines_type", ["LineItem"], [*_own("LineItem"), "LineOrder", "Order", *_own("Order"), "OrderCust", "Customer", *_own("Customer"), "CustNation", "LinePart", "LineSupp"])
         out.add_set("lines", "lines_type")
@@ -146,13 +166,13 @@ def design(name: str) -> Design:
 
 
 def base(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The files as the normalised design; lines get an identity from all their columns, labels one from their document."""
+    """The files as the normalised design; lines get an identity of 128 bits from all their columns (equal lines are one), labels one from their document."""
 
     def reader(table: str):
         def read():
             df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
             if table == "lineitem":
-                df = df.withColumn("l_id", F.xxhash64(*df.columns))
+                df = df.withColumn("l_id", F.concat(F.hex(F.xxhash64(*df.columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *df.columns))))
             elif table == "labels":
                 df = df.select(F.col("doc_id").alias("label_doc"), F.col("doc_id").alias("labelled"), "quality", "toxic")
             return df.select(*[f.name for f in table_map(design("normalized"), table).schema])
