@@ -96,8 +96,10 @@ def template(text: str, codes: words.Codes) -> tuple[np.ndarray, np.ndarray, np.
 
 def _bare(tokens: np.ndarray) -> np.ndarray:
     """Which windows hold placeholders only."""
-    plain = np.cumsum(np.r_[0, tokens > UNIT])
-    return plain[K:] == plain[: max(0, len(plain) - K)]
+    slot = tokens <= UNIT
+    if np.count_nonzero(slot) < K:
+        return np.zeros(max(0, len(tokens) - K + 1), bool)
+    return np.lib.stride_tricks.sliding_window_view(slot, K).all(1)
 
 
 def _windows(df: DataFrame, seen: np.ndarray | None, short: tuple[int, ...] = ()) -> DataFrame:
@@ -116,13 +118,19 @@ def _windows(df: DataFrame, seen: np.ndarray | None, short: tuple[int, ...] = ()
             for i, h, text in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
                 named, plain, literal, own = template(text, codes)
                 hashes, formed, bare = words.grams(plain, K), words.grams(named, K), _bare(plain)
-                hashes[bare] = words.grams(literal, K)[bare]
-                new = (formed != words.grams(plain, K)) & ~_bare(named)
-                for tokens, own_hashes, here in ((plain, hashes, np.ones(len(hashes), bool)), (named, formed, new)):
-                    for at in np.flatnonzero(here if seen is None else here & words.passes(seen, own_hashes)):
+                new = formed != hashes
+                if bare.any():
+                    hashes[bare] = words.grams(literal, K)[bare]
+                for tokens, own_hashes, here in ((plain, hashes, None), (named, formed, new)):
+                    if seen is not None:
+                        here = words.passes(seen, own_hashes) if here is None else here & words.passes(seen, own_hashes)
+                    for at in range(len(own_hashes)) if here is None else np.flatnonzero(here).tolist():
                         alone = bool(bare[at])
-                        values = [] if alone else [f"{int(tokens[j])}:{folded(EDGE.sub('', own[j]))}" for j in range(at, at + K) if tokens[j] <= UNIT]
-                        for c, x in zip(cols, (i, h, int(at), int(own_hashes[at].view(np.int64)), values, K, alone), strict=True):
+                        slots = [j for j in range(at, at + K) if tokens[j] <= UNIT]
+                        if len(slots) == K and not alone:
+                            continue
+                        values = [] if alone else [f"{int(tokens[j])}:{folded(EDGE.sub('', own[j]))}" for j in slots]
+                        for c, x in zip(cols, (i, h, at, int(own_hashes[at].view(np.int64)), values, K, alone), strict=True):
                             c.append(x)
                 for k in short if seen is not None else (len(own),) if 0 < len(own) < K else ():
                     wholes, first = np.unique(words.grams(literal, k), return_index=True)

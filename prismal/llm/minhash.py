@@ -133,9 +133,14 @@ def _key(own: list[str]) -> bytes:
     return xxhash.xxh3_128_digest("\x00".join(own).encode("utf-8", "surrogatepass"))
 
 
+def _short(keys: list[bytes]) -> np.ndarray:
+    """64 bits of each key, for filters."""
+    return np.frombuffer(b"".join(keys), "<i8")[::2]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text_key, key (of the words) and the bands of each row's text."""
-    schema = "doc_id long, row long, text_key binary, key binary, bands array<long>"
+    """doc_id, row, text_key, key (of the words), short (64 bits of it) and the bands of each row's text."""
+    schema = "doc_id long, row long, text_key binary, key binary, short long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, last = words.Codes(), {}
@@ -150,26 +155,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
                     last[key] = words.signed(bands(signature(_texts(own, codes)))) if own else np.zeros(0, np.int64)
                 keys.append(key)
                 made.append(last[key])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", "text_key", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(_short(keys)), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", "text_key", "key", "short", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_key(text_of()).alias("text_key"), text_of().alias("text"))
     return rows.mapInArrow(worker(run), schema)
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its sorted shingle hashes as bytes, of the nodes in wanted (node, key)."""
-    seen = words.bitmap_array(wanted.select(F.xxhash64("key").alias("short")), "short")
-
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(_low(t)) for t in batch.column(0).to_pylist()], pa.binary())], names=["text", "key"])
+    """node and its sorted shingle hashes as bytes, of the nodes in wanted (node, key, short)."""
+    seen = words.bitmap_array(wanted, "short")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, done = words.Codes(), set()
         for batch in batches:
             keys, sets = [], []
-            near = words.passes(seen, batch.column(2).to_numpy().view(np.uint64))
-            for text, key, here in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), near.tolist(), strict=True):
+            texts = batch.column(0).to_pylist()
+            found = [_key(_low(text)) for text in texts]
+            for text, key, here in zip(texts, found, words.passes(seen, _short(found).view(np.uint64)).tolist(), strict=True):
                 if not here or key in done:
                     continue
                 if len(done) < 200_000:
@@ -178,8 +180,7 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets.append(_texts(_low(text), codes).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    keyed = docs.select(text_of().alias("text")).mapInArrow(worker(low), "text string, key binary").select("text", "key", F.xxhash64("key").alias("short"))
-    found = keyed.mapInArrow(worker(run), "key binary, shingles binary")
+    found = docs.select(text_of().alias("text")).mapInArrow(worker(run), "key binary, shingles binary")
     return found.join(wanted, "key").groupBy("key", "node").agg(F.first("shingles").alias("shingles")).select("node", "shingles")
 
 
@@ -299,7 +300,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     members = rows.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
     sizes = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")  # a bucket of one node links nothing
     members = written(members.join(sizes, "bucket"), "buckets")
-    wanted = written(rows.select(F.col("row").alias("node"), "key").join(members.select("node").distinct(), "node"), "wanted")
+    wanted = written(rows.select(F.col("row").alias("node"), "key", "short").join(members.select("node").distinct(), "node"), "wanted")
     sets = written(_shingles(docs, wanted), "shingles")
     candidates = written(_candidates(members, sets, least), "candidates")
     links = tested = found = now = None
