@@ -3,8 +3,8 @@
 A Misra-Gries summary of the digests (Spark's mergeable frequent-items sketch, a fixed number of counters per task)
 proposes the digests that may be frequent. They are counted exactly, and the confirmed ones, at most HEAVY_MOST rows, are
 broadcast: rows of frequent texts are resolved where they are read and never shuffled. All other digests go through an
-ordinary shuffle: they are counted with partial sums, and those of several rows are joined back, so that no task holds all
-rows of a digest that the summary may have missed.
+ordinary shuffle: they are counted with partial sums, and those of several rows are joined back to the rows that a filter of fixed size
+lets pass, so that no task holds all rows of a digest that the summary may have missed.
 
 Cases: a null text counts as empty; runs of blanks count as one space, nothing is trimmed; of rows with equal texts the
 smallest doc_id stays, null ids come last, and of repeated rows with that id one row stays; no rows give no rows; other
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, one_of_each, text_key, text_of, written
-from .words import without
+from .words import probably_in, without
 
 #: Counters of each summary, and the most digests that it may propose.
 TRACKED, HEAVY_MOST = 8192, 1024
@@ -57,8 +57,10 @@ def resolved(docs: DataFrame, least: int) -> DataFrame:
     there = rows.join(F.broadcast(heavy), "digest")
     rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     several = written(rest.groupBy("digest").agg(*_summary()).where("group_size > 1"), "several")  # a table, so that a hot digest's join can be split
-    rest = rest.join(several, "digest", "left").select("digest", "doc_id", "row", "text_key", F.coalesce("first", _order()).alias("first"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
-    return there.select(*rest.columns).unionByName(rest)
+    rest = probably_in(rest, F.xxhash64("digest"), several.select(F.xxhash64("digest").alias("short")), "short", "hit")
+    alone = rest.where("not hit").select("digest", "doc_id", "row", "text_key", _order().alias("first"), F.lit(1).cast("long").alias("group_size"))  # these stay where they are
+    rest = rest.where("hit").join(several, "digest", "left").select("digest", "doc_id", "row", "text_key", F.coalesce("first", _order()).alias("first"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    return there.select(*rest.columns).unionByName(rest).unionByName(alone)
 
 
 def exact_dedup(docs: DataFrame, least: int = 32) -> DataFrame:
