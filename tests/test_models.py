@@ -1,9 +1,11 @@
 """Loaders, checks, inserts, storage, validation and costs."""
 
 import json
+import os
 
 import pytest
 from library import DESIGNS, all_in_one, books, catalog, nested, one_table, people, people_catalog, per_subclass, plain, rows, table_per_class
+from pyspark.sql import functions as F
 
 from prismal.model import FLAT, NESTED, Association, Attribute, ClassDef, Design, Domain, End, Generalization, Guard, ModelError, SetDef, Struct, Subclass
 from prismal.operators import cost, validate
@@ -243,6 +245,13 @@ def test_store(spark, tmp_path):
         with pytest.raises(ModelError):
             store.save(source, where)
         store.save(source, where + "2", supersede=True)
+    last = store.save(migrate(source, nested(source.design.domain)), where + "2", supersede=True)
+    assert len([x for x in os.listdir(where + "2") if x.startswith("data-")]) == 1 and set(os.listdir(last.location)) == set(last.design.tables())
+    broken = catalog(spark)
+    broken.tables["topics"] = broken.tables["topics"].select(F.raise_error(F.lit("lost")).cast("int").alias("T_ID"), "T_name")
+    with pytest.raises(Exception, match="lost"):
+        store.save(broken, where + "2", supersede=True)
+    assert rows(store.load(spark, where + "2").table("topics")) == rows(source.table("topics"))
     with pytest.raises(ModelError):
         store.load(spark, f"{tmp_path}/none")
     with pytest.raises(ModelError):
@@ -267,7 +276,10 @@ def test_validation(spark):
     assert rows(validate.all_reference_violations(lost)) == ["('writes', 'Writes_Author', '99')"]
     assert validate.all_reference_violations(source).isEmpty()
     deep = migrate(source, nested(source.design.domain))
-    assert validate.key_violations(deep, "books").isEmpty()
+    assert validate.key_violations(deep, "books").isEmpty() and ("books", "topic_list.T_ID", "topics", "T_ID") in validate.foreign_keys(deep)
+    deep.table("books")
+    deep.tables["topics"] = deep.table("topics").where("T_ID <> 22")
+    assert rows(validate.all_reference_violations(deep)) == ["('books', 'topic_list.T_ID', '22')"]
 
 
 def test_costs(spark):
@@ -276,6 +288,7 @@ def test_costs(spark):
 
 
 def test_predicates(spark):
+    assert predicates.mentions("o_total > 1 AND x = 'o_price'", "o_total") and not predicates.mentions("o_totalprice > 1 AND x = 'o_total'", "o_total")
     assert predicates.attributes(spark, "(a = 1 AND b BETWEEN 'c' AND d) OR e IN (1, f)") == ["a", "b", "d", "e", "f"]
     assert predicates.parameters("a = $1 AND b = '$2' AND c > $12") == [1, 12]
     assert predicates.bind("a = $1 AND b = '$2'", [None]) == "a = NULL AND b = '$2'"

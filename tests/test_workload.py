@@ -69,8 +69,9 @@ def test_groups(spark, tmp_path):
 
 
 def test_canonical():
-    spec = workload.canonical(books(), ["book", "author", "other"], ["book_title", "author_name", "book_nothing"], "author_age > $1 AND B_title = 'author_age'")
-    assert spec.pattern == ("Book", "Author", "Writes") and spec.filter == "author_age > $1 AND B_title = 'author_age'"
+    spec = workload.canonical(books(), ["book", "author", "other"], ["book_title", "author_name", "book_nothing"], "author_age > $1 AND B_title = 'author_age' AND book_b_id BETWEEN $2 AND $3")
+    assert spec.pattern == ("Book", "Author", "Writes") and spec.filter == "B_title = 'author_age' AND B_ID BETWEEN $2 AND $3"
+    assert workload.conditions("a = 1 AND (b = 2 AND c = 3) AND d BETWEEN 1 AND 2") == ["a = 1", "( b = 2 AND c = 3 )", "d BETWEEN 1 AND 2"] and workload.conditions("a = 1 OR b = 2") == ["a = 1 OR b = 2"]
     spec = workload.canonical(books(), ["BOOK"], ["b_title", "B_ID"], "b_id = $1")
     assert spec.project == ("B_title", "B_ID") and spec.filter == "B_ID = $1"
     assert workload.canonical(people(), ["people", "workers"], ["p_id"], None).pattern == ("Workers",)
