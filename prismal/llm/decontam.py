@@ -36,6 +36,7 @@ K, LEAST, NEIGHBOUR, STRETCH, AGREE = 5, 0.8, 3, 1.5, 0.8
 #: An item table with at most so many windows is broadcast; a larger one is joined by shuffling.
 BROADCAST_WINDOWS = 200_000
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+ASCII_EDGE = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 NUMBER = regex.compile(r"^\p{N}+(?:[.,:/]\p{N}+)*(?:st|nd|rd|th)?$")
 AMOUNT = regex.compile(r"^(\p{N}+(?:[.,]\p{N}+)*)(\p{L}+(?:/\p{L}+)?)$")
 # Units of measure and money that follow a number.
@@ -53,21 +54,33 @@ WINDOWS = "doc_id long, text_key binary, at int, hash long, slots array<string>,
 
 def folded(bare: str) -> str:
     """A word without case: the same of its upper, lower and title form."""
-    return bare.upper().casefold()
+    return bare.lower() if bare.isascii() else bare.upper().casefold()
+
+
+def bare_of(word: str) -> str:
+    """A word without what is neither letter nor number at its ends."""
+    return word.strip(ASCII_EDGE) if word.isascii() else EDGE.sub("", word)
 
 
 def _kind(word: str) -> int:
     """The word's code: 0 for no word at all, or the hash of the bare folded word with its kind in the low bits."""
-    bare = EDGE.sub("", word)
+    if word.isascii():
+        bare = word.strip(ASCII_EDGE)
+        low = bare.lower()
+        digest, cased = xxhash.xxh3_64_intdigest(low), bare != low
+    else:
+        bare = bare_of(word)
+        low = folded(bare)
+        digest, cased = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")), True
     if not bare:
         return 0
-    low = folded(bare)
-    found = max(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~KIND, KIND + 1)
-    if NUMBER.match(low):
-        return found | NUM
-    if AMOUNT.match(bare):
-        return found | GLUED
-    if bare[0].isupper() or bare[0].istitle():
+    found = max(digest & ~KIND, KIND + 1)
+    if not bare.isalpha():  # letters alone are neither
+        if NUMBER.match(low):
+            return found | NUM
+        if AMOUNT.match(bare):
+            return found | GLUED
+    if cased and (bare[0].isupper() or bare[0].istitle()):
         return found | (NAMED_UNIT if low in UNITS else NAME)
     return found | UNIT if low in UNITS else found
 
@@ -78,7 +91,7 @@ def template(text: str, codes: words.Codes) -> tuple[np.ndarray, np.ndarray, np.
     found = codes.of(own)
     glued = (found & np.uint64(KIND)) == GLUED
     if glued.any():
-        own = [x for w, g in zip(own, glued.tolist(), strict=True) for x in (AMOUNT.match(EDGE.sub("", w)).groups() if g else (w,))]
+        own = [x for w, g in zip(own, glued.tolist(), strict=True) for x in (AMOUNT.match(bare_of(w)).groups() if g else (w,))]
         found = codes.of(own)
     if (found == 0).any():
         keep = np.flatnonzero(found)
@@ -129,7 +142,7 @@ def _windows(df: DataFrame, seen: np.ndarray | None, short: tuple[int, ...] = ()
                         slots = [j for j in range(at, at + K) if tokens[j] <= UNIT]
                         if len(slots) == K and not alone:
                             continue
-                        values = [] if alone else [f"{int(tokens[j])}:{folded(EDGE.sub('', own[j]))}" for j in slots]
+                        values = [] if alone else [f"{int(tokens[j])}:{folded(bare_of(own[j]))}" for j in slots]
                         for c, x in zip(cols, (i, h, at, int(own_hashes[at].view(np.int64)), values, K, alone), strict=True):
                             c.append(x)
                 for k in short if seen is not None else (len(own),) if 0 < len(own) < K else ():

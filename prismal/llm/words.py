@@ -12,13 +12,16 @@ from .common import fresh, text_key, text_of
 
 #: What a cache of codes holds at most; it starts anew beyond.
 CACHE = 200_000
-_ODD = regex.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Blanks of str.split that separate no words here.
+_ODD = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_ASCII = "\x1c\x1d\x1e\x1f"
 _BLANKS = regex.compile(r"[\x20\x09-\x0D]+")
 
 
 def split(text: str) -> list[str]:
     r"""The words [^\x20\x09-\x0D]+ of a text."""
-    return [w for w in _BLANKS.split(text) if w] if _ODD.search(text) else text.split()
+    odd = any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text)
+    return [w for w in _BLANKS.split(text) if w] if odd else text.split()
 
 
 class Codes(dict):
