@@ -104,61 +104,70 @@ def catalog(spark):
     )
 
 
-def people():
-    d = Domain("people")
-    d.add_class("People", Attribute("P_ID", "Integer", identifier=True), Attribute("P_name", "String", 20), Attribute("P_occupation", "String", 10))
-    d.add_class("Students", Attribute("S_university", "String", 20))
-    d.add_class("Workers", Attribute("W_company", "String", 20))
-    d.add_generalization("G1", "People", Subclass("Students", "P_occupation='students'"), Subclass("Workers", "P_occupation='workers'"))
-    d.add_association("Friends", End("Friends_People", "People", 0, 50), End("Friends_Workers", "Workers", 0, 50))
+def machines():
+    """Machines of a yard, told apart by power; vehicles have a crew and tow other machines."""
+    d = Domain("yard")
+    d.add_class("Machine", Attribute("M_no", "Integer", identifier=True), Attribute("M_power", "Integer"), Attribute("M_yard", "String", 12))
+    d.add_class("Handheld", Attribute("H_battery", "String", 12))
+    d.add_class("Vehicle", Attribute("V_plate", "String", 8))
+    d.add_class("Crew", Attribute("C_code", "String", 6, identifier=True), Attribute("C_lead", "String", 20))
+    d.add_generalization("ByPower", "Machine", Subclass("Handheld", "M_power < 50"), Subclass("Vehicle", "M_power >= 50"))
+    d.add_association("Mans", End("manned_by", "Crew", 1, 1), End("mans", "Vehicle", 0, None))
+    d.add_association("Tows", End("tower", "Vehicle", 0, None), End("towed", "Machine", 0, None))
     return d
 
 
-def friends(x):
-    x.add_struct("friends_t", ["Friends"])
-    x.add_set("friends", "friends_t")
+def around(x):
+    x.add_struct("crew_t", ["Crew"], ["C_code", "C_lead"])
+    x.add_set("crews", "crew_t")
+    x.add_struct("tows_t", ["Tows"])
+    x.add_set("tows", "tows_t")
     return x
 
 
+MACHINE = ["M_no", "M_power", "M_yard"]
+
+
 def table_per_class(d):
     x = Design(d, "table_per_class")
-    x.add_struct("people_t", ["People"], ["P_ID", "P_name", "P_occupation"])
-    x.add_set("people", "people_t")
-    x.add_struct("students_t", ["Students"], ["S_university"])
-    x.add_set("students", "students_t")
-    x.add_struct("workers_t", ["Workers"], ["W_company"])
-    x.add_set("workers", "workers_t")
-    return friends(x)
+    x.add_struct("machine_t", ["Machine"], MACHINE)
+    x.add_set("machines", "machine_t")
+    x.add_struct("handheld_t", ["Handheld"], ["H_battery"])
+    x.add_set("handhelds", "handheld_t")
+    x.add_struct("vehicle_t", ["Vehicle"], ["V_plate", "Mans"])
+    x.add_set("vehicles", "vehicle_t")
+    return around(x)
 
 
 def all_in_one(d):
     x = Design(d, "all_in_one")
-    x.add_struct("people_t", ["People"], ["P_ID", "P_name", "P_occupation"])
-    x.add_struct("students_t", ["Students"], ["P_ID", "P_name", "P_occupation", "S_university"])
-    x.add_struct("workers_t", ["Workers"], ["P_ID", "P_name", "P_occupation", "W_company"])
-    x.add_set("people", "people_t", "students_t", "workers_t")
-    return friends(x)
+    x.add_struct("machine_t", ["Machine"], MACHINE)
+    x.add_struct("handheld_t", ["Handheld"], [*MACHINE, "H_battery"])
+    x.add_struct("vehicle_t", ["Vehicle"], [*MACHINE, "V_plate", "Mans"])
+    x.add_set("machines", "machine_t", "handheld_t", "vehicle_t")
+    return around(x)
 
 
 def per_subclass(d):
     x = Design(d, "per_subclass")
-    x.add_struct("students_t", ["Students"], ["P_ID", "P_name", "P_occupation", "S_university"])
-    x.add_set("students", "students_t")
-    x.add_struct("workers_t", ["Workers"], ["P_ID", "P_name", "P_occupation", "W_company"])
-    x.add_set("workers", "workers_t")
-    return friends(x)
+    x.add_struct("handheld_t", ["Handheld"], [*MACHINE, "H_battery"])
+    x.add_set("handhelds", "handheld_t")
+    x.add_struct("vehicle_t", ["Vehicle"], [*MACHINE, "V_plate", "Mans"])
+    x.add_set("vehicles", "vehicle_t")
+    return around(x)
 
 
-def people_catalog(spark):
+def yard_catalog(spark):
     frame = spark.createDataFrame
     return Catalog(
         spark,
-        table_per_class(people()),
+        table_per_class(machines()),
         {
-            "people": frame([(1, "ann", "students"), (2, "bob", "workers"), (3, "cid", "workers")], "P_ID int, P_name string, P_occupation string"),
-            "students": frame([(1, "UPC")], "P_ID int, S_university string"),
-            "workers": frame([(2, "Acme"), (3, "Initech")], "P_ID int, W_company string"),
-            "friends": frame([(1, 2), (3, 2)], "Friends_People int, Friends_Workers int"),
+            "machines": frame([(7, 20, "north"), (8, 90, "south"), (9, 300, "north"), (10, 2, None)], "M_no int, M_power int, M_yard string"),
+            "handhelds": frame([(7, "lithium"), (10, "none")], "M_no int, H_battery string"),
+            "vehicles": frame([(8, "AB-1", "red"), (9, "CD-2", "blue")], "M_no int, V_plate string, manned_by string"),
+            "crews": frame([("red", "ann"), ("blue", "bob"), ("grey", None)], "C_code string, C_lead string"),
+            "tows": frame([(8, 7), (9, 8), (9, 10)], "tower int, towed int"),
         },
     )
 

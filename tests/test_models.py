@@ -4,7 +4,7 @@ import json
 import os
 
 import pytest
-from library import DESIGNS, all_in_one, books, catalog, nested, one_table, people, people_catalog, per_subclass, plain, rows, table_per_class
+from library import DESIGNS, all_in_one, books, catalog, machines, nested, one_table, per_subclass, plain, rows, table_per_class, yard_catalog
 from pyspark.sql import functions as F
 
 from prismal.model import FLAT, NESTED, Association, Attribute, ClassDef, Design, Domain, End, Generalization, Guard, ModelError, SetDef, Struct, Subclass
@@ -25,7 +25,7 @@ def test_good_models():
     for f in DESIGNS:
         assert checks.consistent(f(books())), checks.check(f(books()))
     for f in (table_per_class, per_subclass):
-        assert checks.consistent(f(people())), checks.check(f(people()))
+        assert checks.consistent(f(machines())), checks.check(f(machines()))
 
 
 def change(**how):
@@ -88,14 +88,14 @@ BAD_DESIGNS = {
     "Sets3": bad(sets=[SetDef("s", ("B_ID",))]),
     "Sets4": bad(sets=[SetDef("s", ("books",))]),
     "Sets5": bad(sets=[SetDef("s", ("Writes",))]),
-    "Sets6": bad(base=table_per_class, of=people, sets=[SetDef("s", ("G1",))]),
+    "Sets6": bad(base=table_per_class, of=machines, sets=[SetDef("s", ("ByPower",))]),
     "Sets7": bad(sets=[SetDef("s", ("Book", "Author"))]),
     "Structs2": bad(structs=[S("x", ("Book",), ("B_ID",))]),
     "Structs3": bad(structs=[S("x", (), ("B_ID",))], sets=[SetDef("s", ("x",))]),
     "Structs4": bad(structs=[S("x", ("B_ID",), ())], sets=[SetDef("s", ("x",))]),
     "Structs5": bad(structs=[S("x", ("Book", "Topic"), ())], sets=[SetDef("s", ("x",))]),
-    "Structs6": bad(base=table_per_class, of=people, structs=[S("x", ("People",), ("Workers",))], sets=[SetDef("s", ("x",))]),
-    "Structs8": bad(base=table_per_class, of=people, structs=[S("x", ("Students",), ("Workers",))], sets=[SetDef("s", ("x",))]),
+    "Structs6": bad(base=table_per_class, of=machines, structs=[S("x", ("Machine",), ("Vehicle",))], sets=[SetDef("s", ("x",))]),
+    "Structs8": bad(base=table_per_class, of=machines, structs=[S("x", ("Handheld",), ("Vehicle",))], sets=[SetDef("s", ("x",))]),
     "Structs-b": bad(structs=[S("x", ("Book",), ("B_ID", "A_name"))], sets=[SetDef("s", ("x",))]),
     "Structs-c": bad(NESTED, structs=[S("y", ("Topic",), ("T_ID",)), S("x", ("Book",), ("B_ID", "y"))], sets=[SetDef("s", ("x",))]),
     "Structs-d": bad(NESTED, structs=[S("x", ("Book",), ("B_ID", "l"))], sets=[SetDef("l", ("Topic",)), SetDef("s", ("x",))]),
@@ -104,14 +104,14 @@ BAD_DESIGNS = {
     "Design2": bad(drop=["topics", "topic_t"]),
     "Design4": bad(structs=[S("x", ("Topic",), ("T_ID",))], sets=[SetDef("books", ("book_t", "x"))]),
     "Design5": bad(structs=[S("x", ("Book",), ("B_ID",))], sets=[SetDef("books", ("book_t", "x"))]),
-    "Design6": bad(base=per_subclass, of=people, structs=[S("students_t", ("Students",), ("P_name", "S_university")), S("workers_t", ("Workers",), ("P_name", "W_company"))], sets=[SetDef("students", ("students_t", "workers_t")), SetDef("p", ("q",))], drop=["workers"]),
+    "Design6": bad(base=per_subclass, of=machines, structs=[S("handheld_t", ("Handheld",), ("M_yard", "H_battery")), S("vehicle_t", ("Vehicle",), ("M_yard", "V_plate", "Mans"))], sets=[SetDef("handhelds", ("handheld_t", "vehicle_t")), SetDef("p", ("q",))], drop=["vehicles"]),
     "Relational1": bad(NESTED, structs=[S("z", ("Topic",), ("T_ID",)), S("y", ("Book",), ("B_ID", "Touches", "zs")), S("x", ("Author",), ("A_ID", "Writes", "ys"))], sets=[SetDef("zs", ("z",)), SetDef("ys", ("y",)), SetDef("s", ("x",))]),
     "FirstNormalForm1": bad(base=nested),
     "FirstNormalForm2": bad(sets=[SetDef("s", ("Topic",))]),
     "FirstNormalForm3": bad(structs=[S("y", ("Author",), ("A_ID",)), S("x", ("Book",), ("B_ID", "Writes", "y"))], sets=[SetDef("s", ("x",))]),
     "FirstNormalForm4": bad(structs=[S("x", ("Author",), ("A_ID", "Writes", "Book"))], sets=[SetDef("s", ("x",))]),
 }
-BAD_DESIGNS["Design6"].structs["q"] = S("q", ("People",), ("P_occupation",))
+BAD_DESIGNS["Design6"].structs["q"] = S("q", ("Machine",), ("M_power",))
 
 
 @pytest.mark.parametrize("code", BAD_DESIGNS)
@@ -122,7 +122,7 @@ def test_design_constraints(code):
 
 
 def test_design_warnings():
-    found = checks.check(per_subclass(people()))
+    found = checks.check(per_subclass(machines()))
     assert not codes(found)
     some = Design(books(), "some", NESTED)
     some.add_struct("t", ["Author"], ["A_ID", "A_name", "A_age"])
@@ -295,8 +295,8 @@ def test_predicates(spark):
 
 
 def test_superclass_table_keeps_all_rows(spark):
-    got = migrate(people_catalog(spark), all_in_one(people())).table("people")
-    assert {r["P_ID"]: (r["S_university"], r["W_company"]) for r in got.collect()} == {1: ("UPC", None), 2: (None, "Acme"), 3: (None, "Initech")}
+    got = migrate(yard_catalog(spark), all_in_one(machines())).table("machines")
+    assert {r["M_no"]: (r["H_battery"], r["V_plate"], r["manned_by"]) for r in got.collect()} == {7: ("lithium", None, None), 8: (None, "AB-1", "red"), 9: (None, "CD-2", "blue"), 10: ("none", None, None)}
 
 
 def test_schema_of_nested_table():

@@ -4,7 +4,7 @@ import datetime
 import json
 
 import pytest
-from library import books, catalog, nested, people, plain, rows
+from library import books, catalog, machines, nested, plain, rows
 
 from prismal import cli
 from prismal.functions import workload
@@ -74,7 +74,7 @@ def test_canonical():
     assert workload.conditions("a = 1 AND (b = 2 AND c = 3) AND d BETWEEN 1 AND 2") == ["a = 1", "( b = 2 AND c = 3 )", "d BETWEEN 1 AND 2"] and workload.conditions("a = 1 OR b = 2") == ["a = 1 OR b = 2"]
     spec = workload.canonical(books(), ["BOOK"], ["b_title", "B_ID"], "b_id = $1")
     assert spec.project == ("B_title", "B_ID") and spec.filter == "B_ID = $1"
-    assert workload.canonical(people(), ["people", "workers"], ["p_id"], None).pattern == ("Workers",)
+    assert workload.canonical(machines(), ["machine", "vehicle"], ["m_no"], None).pattern == ("Vehicle",)
 
 
 def test_logs(spark, tmp_path):
@@ -116,7 +116,7 @@ def test_report(spark, tmp_path):
 
 
 def test_describe():
-    assert "Writes_Author -> Author 1..1" in describe.domain(books()) and "G1 of People (disjoint, complete)" in describe.domain(people())
+    assert "Writes_Author -> Author 1..1" in describe.domain(books()) and "ByPower of Machine (disjoint, complete)" in describe.domain(machines())
     assert "topic_list:array" in describe.design(nested(books()))
 
 
