@@ -34,7 +34,11 @@ def _column(df: DataFrame, path: Path, unnested: dict[Path, str]) -> Column:
 def _read(catalog: Catalog, r: Rewriting, table: str, wanted: dict[Path, str]) -> DataFrame:
     """A table with its needed leaves as flat columns; each needed set is unnested once, so that independent sets multiply."""
     df, unnested = catalog.table(table), {}
-    for s in r.unnest(table):
+    sets = r.unnest(table)
+    # leaves of structs beside a set are flat before it is unnested: the optimizer loses them under a filter on both
+    flat = {p: n for p, n in wanted.items() if len(p) > 1 and not any(p[: len(s)] == s for s in sets)} if sets else {}
+    df = df.withColumns({n: _column(df, p, {}) for p, n in flat.items()})
+    for s in sets:
         name = _name("unnested", s)
         df = df.select("*", F.explode(_column(df, s, unnested)).alias(name))
         unnested[s] = name
@@ -43,7 +47,7 @@ def _read(catalog: Catalog, r: Rewriting, table: str, wanted: dict[Path, str]) -
         if t == table:
             used = [a for a in predicates.attributes(catalog.spark, text) if a in owner.attributes]
             df = df.withColumns({a: _column(df, owner.attributes[a], unnested) for a in used}).where(F.expr(text))
-    return df.select(*[_column(df, p, unnested).alias(n) for p, n in wanted.items()])
+    return df.select(*[df[n] if p in flat else _column(df, p, unnested).alias(n) for p, n in wanted.items()])
 
 
 def build(catalog: Catalog, r: Rewriting | Union, dedupe: bool = True, values: Any = None) -> DataFrame:
