@@ -3,15 +3,17 @@
 Tokens are words with A-Z in lower case, and an end token. All training tokens are counted. The model predicts the class of
 a token from the classes of the two before it: the most frequent words and the end are classes of their own, the others
 fall into classes by their last letters. A context vector, the sum of the vectors of the two classes each scaled by the
-weights of its position, meets the output vectors of the classes in a product. Training is noise-contrastive: samples of
-the counts of all class triples in the training texts are told from noise drawn from the class frequencies, so that no
-normalisation is needed.
+weights of its position, meets the output vectors of the classes in a product. Training is noise-contrastive, so that no
+normalisation is needed: the class triples of the training texts are told from noise of the class frequencies. Every step
+goes over all triples by their counts, with the noise in expectation; nothing is drawn.
 
 Within its class, a word with a count of at least a quarter of the root of all training tokens has vectors of its own, for
 what it predicts and for being predicted, so that the vocabulary that is modelled grows with the corpus; one more output
-vector stands for the other words of the class. These vectors learn from draws of all training texts, as many as DRAWS times
-that root, told from noise drawn from the words of the class; tasks pack the draws and the driver reads them batch by
-batch. They start from the vectors of the class, and from the word's share of it.
+vector stands for the other words of the class. These vectors learn from all tokens of all training texts, told from noise
+of the words of the class in expectation: each task goes over its texts from the same start, and what the vectors change by
+is averaged over tasks, each number by the squares of its steps. Only that start comes from draws, as many as DRAWS times
+that root, which the driver reads batch by batch, from the vectors of the class and from the word's share of it; the pass
+over all tokens learns without it as well.
 
 For scoring, one batched matrix product gives all contexts' scores of the classes and one a class those of its words, and
 softmaxes normalise them; a word without vectors has its share of the other words of its class, in which one share stands for all
@@ -36,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +52,13 @@ CLASSES = WORDS + 1 + ENDINGS
 BEGIN = CLASSES
 #: Head words have this share of the training tokens at least; words that a worker keeps numbered; texts that it takes at a time.
 HEAD_BITS, CACHE, PIECE = 20, 150_000, 500
-#: Size of vectors, noise samples, triples of a step, steps, rate.
-DIM, NOISE, BATCH, STEPS, RATE = 24, 64, 4096, 2000, 0.03
-#: The same for words in their class: a word with vectors occurs 1/PARTS of the root of all training tokens at least; draws are so many roots.
+#: Size of vectors, noise for each triple, steps, rate.
+DIM, NOISE, STEPS, RATE = 24, 64, 200, 0.03
+#: The same for words in their class: a word with vectors occurs 1/PARTS of the root of all training tokens at least; the draws of the start are so many roots.
 PARTS, DRAWS, OWN_NOISE, OWN_BATCH, OWN_RATE = 4, 500, 8, 1024, 0.1
+#: Tokens of a step of a class in the pass over all training tokens; numbers of a block of these vectors, merged in a group; what is learnt there.
+LESSON, BLOCK = 1024, 1536
+LEARNT = ("input", "output", "bias")
 SEED = 7
 
 
@@ -239,48 +245,40 @@ def draws(found: DataFrame) -> Iterator[np.ndarray]:
 
 
 def train(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The model's parameters by noise-contrastive estimation on samples of the triples."""
+    """The model's parameters by noise-contrastive estimation: each step goes over all triples by their counts, and noise is its expectation."""
     rng = np.random.default_rng(SEED)
-    counts = counts.reshape(-1, CLASSES)
-    unigram = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * CLASSES)
+    counts = counts.reshape(CLASSES + 1, CLASSES + 1, CLASSES)
+    unigram = (counts.sum((0, 1)) + 0.5) / (counts.sum() + 0.5 * CLASSES)
     p = {
         "context": rng.normal(0, 0.3, (CLASSES + 1, DIM)),
         "output": rng.normal(0, 0.3, (CLASSES, DIM)),
         "position": np.ones((2, DIM)),
         "bias": np.log(unigram),
     }
-    some = np.flatnonzero(counts)
+    total = counts.sum(2)
+    some = np.flatnonzero(total.any(1))
     if not len(some):
         return p
-    upto = np.cumsum(counts.ravel()[some])
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    row = np.arange(BATCH)
-
-    def spread(ids: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
-        hot = np.zeros((BATCH, n), np.float32)
-        hot[row, ids] = 1
-        return hot.T @ grad.astype(np.float32)
-
-    offset = np.log(NOISE * unigram)
+    every, noise = float(total.sum()), (NOISE * unigram).astype(np.float32)
     for step in range(STEPS):
-        cell = some[np.searchsorted(upto, rng.integers(0, upto[-1], BATCH), side="right")]
-        context, target = np.divmod(cell, CLASSES)
-        two, one = np.divmod(context, CLASSES + 1)
-        noise = rng.choice(CLASSES, NOISE, p=unigram)
-        a, b = p["context"][one], p["context"][two]
-        q = a * p["position"][0] + b * p["position"][1]
-        good = (q * p["output"][target]).sum(1) + p["bias"][target] - offset[target]
-        bad = q @ p["output"][noise].T + p["bias"][noise] - offset[noise]
-        d_good = -1 / (1 + np.exp(np.clip(good, -30, 30))) / BATCH
-        d_bad = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / BATCH
-        dq = d_good[:, None] * p["output"][target] + d_bad @ p["output"][noise]
-        g = {
-            "output": spread(target, d_good[:, None] * q, CLASSES).astype(float),
-            "bias": np.bincount(target, d_good, CLASSES) + np.bincount(noise, d_bad.sum(0), CLASSES),
-            "context": spread(one, dq * p["position"][0], CLASSES + 1) + spread(two, dq * p["position"][1], CLASSES + 1).astype(float),
-            "position": np.stack([(dq * a).sum(0), (dq * b).sum(0)]),
-        }
-        np.add.at(g["output"], noise, d_bad.T @ q)
+        now = {k: v.astype(np.float32) for k, v in p.items()}
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        near, shift = now["context"] * now["position"][0], now["bias"] - np.log(noise)
+        for i in some:  # what is two before, with all that is one before
+            seen = np.flatnonzero(total[i])
+            q = near[seen] + now["context"][i] * now["position"][1]
+            n = (counts[i, seen] / every).astype(np.float32)
+            d = 1 / (1 + np.exp(-np.clip(q @ now["output"].T + shift, -30, 30)))
+            d *= n + n.sum(1, keepdims=True) * noise
+            d -= n
+            dq = d @ now["output"]
+            g["output"] += d.T @ q
+            g["bias"] += d.sum(0)
+            g["context"][seen] += dq * now["position"][0]
+            g["context"][i] += dq.sum(0) * now["position"][1]
+            g["position"][0] += (dq * now["context"][seen]).sum(0)
+            g["position"][1] += dq.sum(0) * now["context"][i]
         rate = RATE * (1 - step / STEPS)
         for k, v in p.items():
             m, s = state[k]
@@ -303,16 +301,16 @@ def log_table(p: dict[str, np.ndarray]) -> np.ndarray:
 
 def _descend(v: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """A step of the rows of v against their summed gradients, by the squares so far."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.min_scalar_type(len(v))), kind="stable")  # 16 bits, if they do, are sorted by radix
     rows = rows[order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    some, step = rows[first], np.add.reduceat(grad[order], first)
+    some, step = rows[first], np.add.reduceat(grad.take(order, 0), first)
     squares[some] += step**2
     v[some] -= OWN_RATE * step / np.sqrt(squares[some] + 1e-8)
 
 
 def own_vectors(p: dict[str, np.ndarray], known: Lexicon, batches: Iterable[np.ndarray]) -> dict[str, np.ndarray]:
-    """Vectors of words by noise-contrastive estimation on draws; noise is drawn from the words of the class."""
+    """The start of the vectors of words, by noise-contrastive estimation on draws; noise is drawn from the words of the class."""
     rng = np.random.default_rng(SEED)
     kind = np.repeat(np.arange(ENDINGS), np.diff(known.starts))
     upto = np.cumsum(known.weights)
@@ -343,6 +341,85 @@ def own_vectors(p: dict[str, np.ndarray], known: Lexicon, batches: Iterable[np.n
     return v
 
 
+def _lesson(v: dict[str, np.ndarray], squares: dict[str, np.ndarray], known: Lexicon, two: np.ndarray, one: np.ndarray, slot: np.ndarray) -> None:
+    """Steps of the vectors over all these tokens, class by class; noise is its expectation over the words of the class."""
+    kind = np.searchsorted(known.starts, slot, side="right") - 1
+    order = np.argsort(kind, kind="stable")
+    two, one, slot = two[order], one[order], slot[order]
+    bounds = np.searchsorted(kind[order], np.arange(len(known.starts)))
+    for k in np.flatnonzero(np.diff(bounds)):
+        low, high = known.starts[k], known.starts[k + 1]
+        noise = (OWN_NOISE * known.weights[low:high] / known.weights[low:high].sum()).astype(np.float32)
+        offset, out, bias = np.log(noise), v["output"][low:high], v["bias"][low:high]
+        for part in range(bounds[k], bounds[k + 1], LESSON):
+            at = slice(part, min(part + LESSON, bounds[k + 1]))
+            q = v["input"].take(one[at], 0) * v["position"][0] + v["input"].take(two[at], 0) * v["position"][1]
+            row, col = np.arange(len(q)), slot[at] - low
+            d = 1 / (1 + np.exp(-np.clip(q @ out.T + (bias - offset), -30, 30)))
+            true = d[row, col] - 1
+            d *= noise
+            d[row, col] += true
+            dq = d @ out
+            for name, x, step in (("output", out, d.T @ q), ("bias", bias, d.sum(0))):
+                squares[name][low:high] += step**2
+                x -= OWN_RATE * step / np.sqrt(squares[name][low:high] + 1e-8)
+            _descend(v["input"], squares["input"], np.concatenate([one[at], two[at]]), np.concatenate([dq * v["position"][0], dq * v["position"][1]]))
+
+
+def _flat(v: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([v[k].ravel() for k in LEARNT])
+
+
+def lessons(rows: DataFrame, known: Lexicon, v: dict[str, np.ndarray]) -> DataFrame:
+    """block, change: how the vectors change by all tokens of the training texts, in blocks of their numbers.
+
+    Each task goes over all its texts from the same vectors; changes of tasks are averaged, each number by the squares of its steps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, wide = Classes(known), known.wide()
+        mine, squares = {k: x.copy() for k, x in v.items()}, {k: np.zeros_like(v[k]) for k in LEARNT}
+        for batch in batches:
+            for part in range(0, batch.num_rows, PIECE):
+                ids = [numbers.of(tokens(t)) for t in batch.column(0).slice(part, PIECE).to_pylist()]
+                flat, ends = np.concatenate(ids), np.cumsum([len(x) for x in ids])
+                classes, slots = numbers.classes()[flat], numbers.slots()[flat]
+                numbers.trim()
+                one, two = before(inputs(classes, slots), ends)
+                at = np.flatnonzero(wide[classes])
+                _lesson(mine, squares, known, two[at], one[at], slots[at])
+        weight, change = _flat(squares), _flat(mine) - _flat(v)
+        starts = [i for i in range(0, len(weight), BLOCK) if weight[i : i + BLOCK].any()]
+        sums = [np.concatenate([weight[i : i + BLOCK] * change[i : i + BLOCK], weight[i : i + BLOCK]]).tobytes() for i in starts]
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in starts], pa.int64()), pa.array([task] * len(starts), pa.int64()), pa.array(sums, pa.binary())], names=["block", "task", "sums"])
+
+    def merge(found: pa.Table) -> pa.Table:
+        found = found.sort_by("task")
+        weighted, weight = 0.0, 0.0
+        for x in found["sums"]:
+            a, b = np.frombuffer(x.as_buffer(), np.float32).reshape(2, -1).astype(float)
+            weighted, weight = weighted + a, weight + b
+        change = np.divide(weighted, weight, out=np.zeros(len(weight)), where=weight > 0).astype(np.float32)
+        return pa.table({"block": found["block"].slice(0, 1), "change": pa.array([change.tobytes()], pa.binary())})
+
+    found = rows.where("not held_out").select("text").mapInArrow(worker(run), "block long, task long, sums binary")
+    return found.groupBy("block").applyInArrow(merge, "block long, change binary")
+
+
+def learn(rows: DataFrame, known: Lexicon, v: dict[str, np.ndarray]) -> None:
+    """Changes v by all tokens of the training texts; the driver gets no more than the vectors' numbers."""
+    if not known.wide().any():
+        return
+    flat = _flat(v)
+    found = lessons(rows, known, v).toArrow()
+    for block, change in zip(found["block"].to_pylist(), found["change"].to_pylist(), strict=True):
+        flat[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(change, np.float32)
+    ends = np.cumsum([v[k].size for k in LEARNT])
+    for k, part in zip(LEARNT, np.split(flat, ends[:-1]), strict=True):
+        v[k][:] = part.reshape(v[k].shape)
+
+
 def log_in_class(v: np.ndarray, starts: np.ndarray, one: np.ndarray, two: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each slot in its class after what is one and two before."""
     kind = np.searchsorted(starts, slot, side="right") - 1
@@ -354,7 +431,7 @@ def log_in_class(v: np.ndarray, starts: np.ndarray, one: np.ndarray, two: np.nda
         step = max(1, (1 << 22) // (high - low))
         for part in range(bounds[k], bounds[k + 1], step):
             rows = order[part : min(part + step, bounds[k + 1])]
-            q = v["input"][one[rows]] * v["position"][0] + v["input"][two[rows]] * v["position"][1]
+            q = v["input"].take(one[rows], 0) * v["position"][0] + v["input"].take(two[rows], 0) * v["position"][1]
             s = q @ v["output"][low:high].T + v["bias"][low:high]
             s -= s.max(1, keepdims=True)
             out[rows] = (s[np.arange(len(rows)), slot[rows] - low] - np.log(np.exp(s).sum(1))) / math.log(10)
@@ -449,6 +526,7 @@ def op5_lm(docs: DataFrame) -> DataFrame:
     seen = written(triples(rows, known, DRAWS / math.sqrt(max(n, 1))), "triples")
     params = train(triple_counts(seen))
     vectors = own_vectors(params, known, draws(seen))
+    learn(rows, known, vectors)
     scored = written(_scored(rows, known, params, vectors), "scored")
     words = scored.where("word is not null").select("word", "docs")
     c = words.join(counts.where(F.col("c") < least), "word", "left").select(F.coalesce("c", F.lit(0)).alias("c"), "docs")
